@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, quality, token_counts, toxicity
-from ._common import read_vocabulary, table
+from . import ann, byte_bpe, chat, fingerprints, mixing, quality, token_counts, toxicity, warc
+from ._common import fresh_path, read_vocabulary, table
 
 
 def _vocabulary(name: str) -> bytes:
@@ -17,6 +17,19 @@ def _vocabulary(name: str) -> bytes:
     return read_vocabulary(public_tokenizers.path(name))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path, least_bytes=100)
+    read = warc.read_archives(spark, path)
+    page = lambda c: F.when(F.col(c) != "null", F.col(c)).cast("bigint")
+    return read.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, books = ann.build_index(table(spark, sf_dir, "embeddings"))
+    return ann.search(index, books, index.where(ann.every_fiftieth(F.col("vec_id"))).select("vec_id", "v"), k=5)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
@@ -29,6 +42,17 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, _vocabulary("piece_bpe_32k.model"), limit=4096).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digest_windows(chat.format_conversations(turns, budget=1024, history=256))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars", "copy", "n_copies", F.round("order_key", 9).alias("order_key"))
 
@@ -48,8 +72,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op2_ann": op2_ann,
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
+    "op5_chat": op5_chat,
+    "op6_fingerprints": op6_fingerprints,
     "op8_mixing": op8_mixing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality": op10_quality,
