@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, chat, fingerprints, mixing, quality, token_counts, toxicity, warc
+from . import ann, byte_bpe, chat, fingerprints, jaccard, mixing, quality, token_counts, toxicity, warc
 from ._common import fresh_path, read_vocabulary, table
 
 
@@ -53,6 +53,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.join_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars", "copy", "n_copies", F.round("order_key", 9).alias("order_key"))
 
@@ -71,6 +76,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.train(docs)).select("doc_id", "score", "keep", "weak_label", "votes")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_ann": op2_ann,
@@ -78,9 +89,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_chat": op5_chat,
     "op6_fingerprints": op6_fingerprints,
+    "op7_jaccard": op7_jaccard,
     "op8_mixing": op8_mixing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality": op10_quality,
+    "pipeline": pipeline,
 }
 
 #: Mixing in SQL: hash-seeded uniform numbers against the Poisson distribution function, then one row by copy.
