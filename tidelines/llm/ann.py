@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import bound_batches, materialize
 
 #: Rows of the sample that the codebooks are learnt on.
 SAMPLE = 8192
@@ -107,6 +107,7 @@ def _matrix(column, dim: int) -> np.ndarray:
 
 def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> tuple[DataFrame, Codebooks | None]:
     """The encoded rows (vec_id, v, codes, norm) as a written table, and the codebooks."""
+    bound_batches(df.sparkSession)
     valid = valid_vectors(df, id_col, vector_col)
     first = valid.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id", "v").limit(sample).collect()
     if not first:
@@ -188,7 +189,15 @@ def _searcher(sent, books: Codebooks, k: int, rerank: int):
         def block(rows):
             t = pa.Table.from_batches(rows).combine_chunks().sort_by("vec_id")
             codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-            found = search_block(books, qids, q, t.column("vec_id").to_numpy(), _matrix(t.column("v"), books.dim), codes, t.column("norm").to_numpy(), k, rerank)
+            ids, v = t.column("vec_id").to_numpy(), _matrix(t.column("v"), books.dim)
+            # of equal vectors the k + 1 smallest ids are all that any query can return, as ties go to the smaller id
+            equal = np.unique(v, axis=0, return_inverse=True)[1].reshape(-1)
+            order = np.argsort(equal, kind="stable")
+            first = np.concatenate([[0], np.cumsum(np.bincount(equal))[:-1]])
+            nth = np.empty(len(v), np.int64)
+            nth[order] = np.arange(len(v)) - first[equal[order]]
+            use = nth <= k
+            found = search_block(books, qids, q, ids[use], v[use], codes[use], t.column("norm").to_numpy()[use], k, rerank)
             return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
         held, n = [], 0
