@@ -42,7 +42,16 @@ def read_vocabulary(path: str) -> bytes:
     return data
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches that go to Python hold at most a few MB of long texts, where the session doesn't say otherwise."""
+    said = spark.conf.getAll
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")):
+        if key not in said:
+            spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

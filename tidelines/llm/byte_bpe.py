@@ -17,7 +17,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import memo, worker_state
+from ._common import bound_batches, memo, worker_state
 
 #: A worker's piece cache holds up to twice as many entries. Longer pieces are encoded anew each time.
 CACHE_PIECES, CACHED_LENGTH = 400_000, 48
@@ -207,6 +207,7 @@ def ids_digest_column(ids: Column) -> Column:
 
 def encode_documents(df: DataFrame, ranks: bytes, pattern: str, text_col: str = "text") -> DataFrame:
     """df with token_ids (array<int>) and n_tokens; all rows and columns stay."""
+    bound_batches(df.sparkSession)
     out = df.withColumn("token_ids", encode_column(df[text_col], ranks, pattern))
     return out.withColumn("n_tokens", F.size("token_ids").cast("bigint"))
 

@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import bound_batches
+
 OPEN, CLOSE = "### ", "</turn>\n"
 #: What stands for the control strings inside roles and texts. The backslash goes first.
 ESCAPES = (("\\", "\\s"), ("### ", "\\h"), ("</turn>", "\\c"))
@@ -119,6 +121,7 @@ def format_conversations(df: DataFrame, budget: int = 1024, history: int = 256,
     budget and history are in tokens; n_tokens_col names a column with each turn's tokens, else a quarter of its characters
     and four for its marks are taken. Rows come out sorted by conversation and window within each partition.
     """
+    bound_batches(df.sparkSession)
     text = F.coalesce(df["text"], F.lit(""))
     tokens = df[n_tokens_col] if n_tokens_col else F.ceil(F.length(text) / 4) + 4
     rows = df.select(df["conv_id"].cast("bigint").alias("conv_id"), df["turn"].cast("bigint").alias("turn"), F.coalesce(df["role"], F.lit("")).alias("role"), text.alias("text"), F.coalesce(tokens.cast("bigint"), F.lit(0)).alias("tokens"))

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, memo, worker_state
+from ._common import bound_batches, materialize, memo, worker_state
 
 #: A token is frequent if about this many documents hold it. At most FREQUENT of them are told to the executors, as one bit of
 #: TABLE_BITS each; the classification steers the work and never changes the result.
@@ -33,7 +33,6 @@ FREQUENT_FROM, FREQUENT, TABLE_BITS = 64, 200_000, 22
 GROUPS, SMALL = 64, 128
 #: Members of a key that meet in one task; more are split into tiles.
 TILE = 2000
-SKETCH_WORDS = 16
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -73,10 +72,16 @@ def class_of(s: np.ndarray) -> int | None:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else None
 
 
+def sketch_bits(n: int) -> int:
+    """Places of a sketch: a power of two, at least twice the tokens, so that it tells large sets apart as well as small ones."""
+    return max(512, 1 << (2 * n - 1).bit_length())
+
+
 def sketch(s: np.ndarray) -> bytes:
     """A bit by hash place, 1 if an odd number of tokens fall there; differing bits never outnumber differing tokens."""
-    bits = np.bincount((s >> np.uint64(7)).astype(np.int64) & (64 * SKETCH_WORDS - 1), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    bits = sketch_bits(len(s))
+    odd = np.bincount(((s >> np.uint64(7)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def slack(n: int, num: int, den: int) -> int:
@@ -207,29 +212,39 @@ def tiles(index: DataFrame, sketches: DataFrame) -> DataFrame:
     return materialize(split.join(sketches, "cls"), "tiles")
 
 
-def tile_pairs(cls, n, salt, sk, part, ti: int, tj: int, num: int, den: int, closest: bool):
+def tile_pairs(cls, n, salt, sketches: list[bytes], part, ti: int, tj: int, num: int, den: int, closest: bool):
     """Candidate pairs of a tile: all, or each member's closest earlier one if there are many."""
     order = np.lexsort((cls, n))
-    cls, n, salt, sk, part = cls[order], n[order], salt[order], sk[order], part[order]
+    cls, n, salt, part = cls[order], n[order], salt[order], part[order]
     lo = np.searchsorted(n * den, n * num)  # the first member that is not too small
-    out_a, out_b, many = [], [], 0
-    best_a, best_b = [], []
+    # members of one sketch size are neighbours; a member also meets those of half its size, with its halves folded
+    size = np.array([len(sketches[i]) for i in order])
+    starts = np.flatnonzero(np.r_[True, size[1:] != size[:-1]])
+    block = [np.frombuffer(b"".join(sketches[i] for i in order[a:b]), np.uint64).reshape(b - a, -1) for a, b in zip(starts, [*starts[1:], len(n)], strict=True)]
+    own = np.searchsorted(starts, np.arange(len(n)), side="right") - 1
+    out_a, out_b, best_a, best_b, many = [], [], [], [], 0
     for i in range(1, len(n)):
         if lo[i] >= i:
             continue
+        at = own[i]
+        mine, a = block[at][i - starts[at]], max(lo[i], starts[at])
+        differ = np.bitwise_count(block[at][a - starts[at] : i - starts[at]] ^ mine).sum(1, dtype=np.int64)
+        while a > lo[i]:
+            # below: half the size, or a smaller one, for which no bound is known
+            at, b = at - 1, a
+            a = max(lo[i], starts[at])
+            half = mine[: len(mine) // 2] ^ mine[len(mine) // 2 :]
+            low = block[at][a - starts[at] : b - starts[at]]
+            less = np.bitwise_count(low ^ half).sum(1, dtype=np.int64) if low.shape[1] == len(half) else np.zeros(b - a, np.int64)
+            differ, mine = np.concatenate([less, differ]), half
         js = np.arange(lo[i], i)
-        js = js[part[js] != part[i]]
+        fine = ((den + num) * differ <= (den - num) * (n[js] + n[i])) & (part[js] != part[i])
         if ti != tj:
-            js = js[salt[js] != salt[i]]
-        if not len(js):
-            continue
-        differ = np.bitwise_count(sk[js] ^ sk[i]).sum(1, dtype=np.int64)
-        fine = (den + num) * differ <= (den - num) * (n[js] + n[i])
+            fine &= salt[js] != salt[i]
         js, differ = js[fine], differ[fine]
         if len(js):
-            near = js[int(np.argmin(differ * 1.0 / (n[js] + n[i])))]
             best_a.append(cls[i])
-            best_b.append(cls[near])
+            best_b.append(cls[js[int(np.argmin(differ / (n[js] + n[i])))]])
             many += len(js)
             if not closest or many <= 4 * len(n) + 16:
                 out_a.append(np.full(len(js), cls[i]))
@@ -258,9 +273,8 @@ def candidates(tiled: DataFrame, parts: DataFrame | None, num: int, den: int) ->
 
         def pairs(held):
             t = pa.Table.from_batches(held)
-            sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(t.num_rows, SKETCH_WORDS)
             get = lambda c: t.column(c).to_numpy().astype(np.int64)
-            return tile_pairs(get("cls"), get("n"), get("salt"), sk, get("part"), t.column("ti")[0].as_py(), t.column("tj")[0].as_py(), num, den, closest)
+            return tile_pairs(get("cls"), get("n"), get("salt"), t.column("sketch").to_pylist(), get("part"), t.column("ti")[0].as_py(), t.column("tj")[0].as_py(), num, den, closest)
 
         def pack(found):
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -372,6 +386,7 @@ def join_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
     Two documents link when den * (size of the intersection) >= num * (size of the union) of their shingle sets. class_id is the
     least id with the same set, component_id the least id reachable by links; a document without shingles has its own id.
     """
+    bound_batches(docs.sparkSession)
     profiled = profile(docs, width, id_col, text_col)
     members = profiled.where("token is null").select("id", "n", "cls", "sketch")
     classes = members.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"))

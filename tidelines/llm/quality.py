@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import memo, worker_state
+from ._common import bound_batches, memo, worker_state
 
 #: Names of the labellers, in the order of their votes.
 LABELLERS = ("repeats", "variety", "shouting", "marks", "columns", "endings", "prose")
@@ -177,6 +177,7 @@ def _examples(rows):
 
 def train(docs: DataFrame, sample: dict[int, int] | None = None, l2: float = 1e-4, steps: int = 400) -> QualityModel:
     """docs: doc_id, text. Vote counts cover all documents; the scorer is fitted on a bounded sample, by a hash of the id."""
+    bound_batches(docs.sparkSession)
     voted = docs.select("doc_id", "text", vote_column(docs["text"]).alias("votes"))
     # at most 3 ** labellers rows come back
     patterns = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -215,6 +216,7 @@ def train(docs: DataFrame, sample: dict[int, int] | None = None, l2: float = 1e-
 
 def score_documents(df: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """df with votes, weak_label (posterior of the votes), score (0 to 1, higher: better) and keep (score >= threshold)."""
+    bound_batches(df.sparkSession)
     key = "quality-" + model.key()
 
     def judge(texts):

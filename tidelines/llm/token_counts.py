@@ -17,7 +17,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import memo, worker_state
+from ._common import bound_batches, memo, worker_state
 
 #: The escaped form of a space in this kind of model.
 SPACE = "▁"
@@ -122,6 +122,7 @@ def token_count(text: Column, model: bytes) -> Column:
 
 def count_tokens(df: DataFrame, model: bytes, text_col: str = "text", limit: int = 4096) -> DataFrame:
     """df with n_bytes, n_tokens and over_limit (more than `limit` tokens) of the column text_col; all rows and columns stay."""
+    bound_batches(df.sparkSession)
     text = F.coalesce(df[text_col], F.lit(""))
     counted = df.withColumn("__tl_n", token_count(text, model)).withColumn("n_bytes", F.octet_length(text).cast("bigint"))
     return counted.withColumn("n_tokens", F.col("__tl_n")).withColumn("over_limit", F.col("__tl_n") > limit).drop("__tl_n")

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import memo, worker_state
+from ._common import bound_batches, memo, worker_state
 
 #: Names of groups that may stand for each other, one kind a line.
 GROUPS = """
@@ -159,6 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, swap_weight: float = 1.0, sample:
 
     docs: doc_id, text; labels: doc_id, label (0 or 1). The sampled label rows are few by that bound, so they are broadcast.
     """
+    bound_batches(docs.sparkSession)
     labels = labels.select("doc_id", F.col("label").cast("int").alias("label")).dropna()
     parts = [labels.where(F.col("label") == c).orderBy(F.xxhash64(F.col("doc_id"), F.lit(17)), "doc_id").limit(n) for c, n in (sample or SAMPLE).items()]
     chosen = parts[0].unionByName(parts[1])
@@ -183,6 +184,7 @@ def score_column(text: Column, model: LinearModel) -> Column:
 
 def score_documents(df: DataFrame, model: LinearModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """df with score (0 to 1, higher: toxic likelier) and predicted (1 from the threshold up)."""
+    bound_batches(df.sparkSession)
     out = df.withColumn("score", score_column(df[text_col], model))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
