@@ -73,8 +73,8 @@ def class_of(s: np.ndarray) -> int | None:
 
 
 def sketch_bits(n: int) -> int:
-    """Places of a sketch: a power of two, at least twice the tokens, so that it tells large sets apart as well as small ones."""
-    return max(512, 1 << (2 * n - 1).bit_length())
+    """Places of a sketch: a power of two, at least as many as tokens, so that it tells large sets apart as well as small ones."""
+    return max(512, 1 << (n - 1).bit_length())
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -196,24 +196,24 @@ def index_rows(docs: DataFrame, frequent: np.ndarray, width: int, num: int, den:
     return docs.select(docs[text_col].alias("text")).mapInArrow(run, "key long, cls long, n int")
 
 
-def tiles(index: DataFrame, sketches: DataFrame) -> DataFrame:
-    """key, ti, tj, salt, cls, n, sketch: the members of every key with several classes, split into tiles.
+def tiles(index: DataFrame) -> DataFrame:
+    """key, ti, tj, salt, cls, n: the members of every key with several classes, split into tiles.
 
-    Of keys with the same members one stays: counts and sums of hashes tell them apart without gathering the members.
+    Of keys with the same members one stays: count, least, greatest and exclusive-or of their hashes tell them apart without
+    gathering them.
     """
-    h = F.xxhash64("cls")
-    # counts and hash sums combine before the shuffle
-    by_key = index.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("y"))
-    kept = by_key.where("lo < hi").groupBy("m", "lo", "hi", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / TILE).cast("int").alias("g"))
+    # these combine before the shuffle
+    by_key = index.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.bit_xor("cls").alias("x"))
+    kept = by_key.where("lo < hi").groupBy("m", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / TILE).cast("int").alias("g"))
     members = index.join(kept, "key").dropDuplicates(["key", "cls"])
     salt = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("g")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
     split = members.withColumn("salt", salt).withColumn("o", other).select("key", F.least("salt", "o").alias("ti"), F.greatest("salt", "o").alias("tj"), "salt", "cls", "n")
-    return materialize(split.join(sketches, "cls"), "tiles")
+    return materialize(split, "tiles")
 
 
 def tile_pairs(cls, n, salt, sketches: list[bytes], part, ti: int, tj: int, num: int, den: int, closest: bool):
-    """Candidate pairs of a tile: all, or each member's closest earlier one if there are many."""
+    """Candidate pairs of a tile: all, or each member's closest earlier one if there are many; and whether it was cut so."""
     order = np.lexsort((cls, n))
     cls, n, salt, part = cls[order], n[order], salt[order], part[order]
     lo = np.searchsorted(n * den, n * num)  # the first member that is not too small
@@ -250,22 +250,30 @@ def tile_pairs(cls, n, salt, sketches: list[bytes], part, ti: int, tj: int, num:
                 out_a.append(np.full(len(js), cls[i]))
                 out_b.append(cls[js])
     if closest and many > 4 * len(n) + 16:
-        return np.array(best_a, np.int64), np.array(best_b, np.int64)
+        return np.array(best_a, np.int64), np.array(best_b, np.int64), True
     if not out_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_a), np.concatenate(out_b)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    return np.concatenate(out_a), np.concatenate(out_b), False
 
 
-def candidates(tiled: DataFrame, parts: DataFrame | None, num: int, den: int) -> DataFrame:
-    """Distinct candidate pairs (a < b) of classes. With parts (cls, part), only between different parts, and then all."""
+CANDIDATE_SCHEMA = "a long, b long, key long, ti int, tj int"
+
+
+def candidates(tiled: DataFrame, sketches: DataFrame, num: int, den: int, parts: DataFrame | None = None, cut: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs (a < b) of classes, and rows without a pair for tiles (key, ti, tj) that were cut to the closest ones.
+
+    With parts (cls, part): only in the tiles that were cut, only between different parts, and then all.
+    """
     if parts is None:
         rows = tiled.withColumn("part", F.col("cls"))
     else:
-        rows = tiled.join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
-        # keys whose members are all connected by now have nothing left to verify
+        rows = tiled.join(cut, ["key", "ti", "tj"]).join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+        # tiles whose members are all connected by now have nothing left to verify
         open_ = rows.groupBy("key", "ti", "tj").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key", "ti", "tj")
         rows = rows.join(open_, ["key", "ti", "tj"])
-    dealt = rows.select("key", "ti", "tj", "cls", "n", "salt", "sketch", "part").repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
+    # sketches come last, as they are the wide part
+    rows = rows.select("key", "ti", "tj", "cls", "n", "salt", "part").join(sketches, "cls").select("key", "ti", "tj", "cls", "n", "salt", "sketch", "part")
+    dealt = rows.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
     closest = parts is None
 
     def run(batches):
@@ -277,9 +285,13 @@ def candidates(tiled: DataFrame, parts: DataFrame | None, num: int, den: int) ->
             return tile_pairs(get("cls"), get("n"), get("salt"), t.column("sketch").to_pylist(), get("part"), t.column("ti")[0].as_py(), t.column("tj")[0].as_py(), num, den, closest)
 
         def pack(found):
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
             lo_hi = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(lo_hi[:, 0])), pa.array(np.ascontiguousarray(lo_hi[:, 1]))], names=["a", "b"])
+            marks = [f[3] for f in found if f[2]]
+            n, m = len(lo_hi), len(marks)
+            cols = [pa.array([*lo_hi[:, i].tolist(), *[None] * m], pa.int64()) for i in (0, 1)]
+            cols += [pa.array([*[None] * n, *[x[i] for x in marks]], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+            return pa.RecordBatch.from_arrays(cols, names=["a", "b", "key", "ti", "tj"])
 
         now, held, found, size = None, [], [], 0
         for batch in batches:
@@ -290,7 +302,7 @@ def candidates(tiled: DataFrame, parts: DataFrame | None, num: int, den: int) ->
                     continue
                 mark = (int(k[a]), int(i[a]), int(j[a]))
                 if held and mark != now:
-                    found.append(pairs(held))
+                    found.append((*pairs(held), now))
                     size += len(found[-1][0])
                     held = []
                     if size > 100_000:
@@ -299,11 +311,11 @@ def candidates(tiled: DataFrame, parts: DataFrame | None, num: int, den: int) ->
                 now = mark
                 held.append(batch.slice(a, b - a))
         if held:
-            found.append(pairs(held))
+            found.append((*pairs(held), now))
         if found:
             yield pack(found)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, CANDIDATE_SCHEMA)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
@@ -393,16 +405,18 @@ def join_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
     classes = materialize(classes, "classes")
     reps = classes.select("cls", "id")
     valid = docs.where(docs[id_col].isNotNull())
-    tiled = tiles(materialize(index_rows(valid, frequent_table(profiled), width, num, den, text_col), "prefixes"), classes.select("cls", "sketch"))
-    check = lambda pairs: verified(pairs, docs, reps, width, num, den, id_col, text_col)
-    links = check(materialize(candidates(tiled, None, num, den), "pairs"))
+    sketches = classes.select("cls", "sketch")
+    tiled = tiles(materialize(index_rows(valid, frequent_table(profiled), width, num, den, text_col), "prefixes"))
+    check = lambda found: verified(found.where("a is not null").select("a", "b").distinct(), docs, reps, width, num, den, id_col, text_col)
+    first = materialize(candidates(tiled, sketches, num, den), "pairs")
+    links = check(first)
     # rows that repeat an id with another text are one document
     same_id = members.where("cls is not null and id is not null").groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b")
     twice = members.where("id is not null").join(same_id.select("id", "a"), "id").select("a", F.col("cls").alias("b")).where("a <> b")
-    links = links.unionByName(twice)
-    parts = connected(links)
-    more = check(materialize(candidates(tiled, parts, num, den), "pairs"))
-    if not more.isEmpty():
+    parts = connected(links.unionByName(twice))
+    cut = first.where("key is not null").select("key", "ti", "tj").distinct()
+    if not cut.isEmpty():
+        more = check(materialize(candidates(tiled, sketches, num, den, parts, cut), "pairs"))
         parts = connected(parts.select(F.col("cls").alias("a"), F.col("part").alias("b")).unionByName(more))
     by_class = reps.join(parts, "cls", "left").select("cls", F.col("id").alias("class_id"), F.coalesce("part", "cls").alias("part"))
     least = by_class.groupBy("part").agg(F.min("class_id").alias("component_id"))
