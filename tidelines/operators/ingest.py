@@ -125,7 +125,7 @@ def probabilistic(revisions: DataFrame, frame: TimeFrame, share: float) -> DataF
     The first, artificial interval doesn't count; histories of one entry are dropped.
     """
     plain = no_decay(revisions, frame)
-    rows = plain.withColumn("nx", F.lead("ts").over(L.W)).withColumn("i", F.row_number().over(L.W))
+    rows = plain.withColumn("nx", F.lead("ts").over(L.by_time())).withColumn("i", F.row_number().over(L.by_time()))
     dur = F.when((F.col("nx") <= F.lit(frame.train_end)) & (F.col("i") > 1), F.datediff("nx", "ts"))
     cut = rows.groupBy("role_id").agg(F.array_sort(F.collect_list(dur)).alias("ds"), F.count(F.lit(1)).alias("n"), F.max("ts").alias("end")).where("n > 1")
     k = F.ceil(F.size("ds") * F.lit(float(share))).cast("int")

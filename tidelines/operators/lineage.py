@@ -10,13 +10,20 @@ from pyspark.sql import functions as F
 from ..frame import TimeFrame
 from ..functions.values import informative, same_raw, shown
 
-W = Window.partitionBy("role_id").orderBy("ts")
-KNOWN = F.col("wc").isNull
+
+def by_time():
+    """A role's entries in order of time."""
+    return Window.partitionBy("role_id").orderBy("ts")
+
+
+def KNOWN() -> Column:  # noqa: N802
+    """The entry is not a missing-value marker."""
+    return F.col("wc").isNull()
 
 
 def intervals(lineage: DataFrame, horizon: date) -> DataFrame:
     """role_id, valid_from, valid_to, value, wc: half-open; the last interval ends at the horizon."""
-    to = F.coalesce(F.lead("ts").over(W), F.greatest(F.lit(horizon), F.col("ts")))
+    to = F.coalesce(F.lead("ts").over(by_time()), F.greatest(F.lit(horizon), F.col("ts")))
     return lineage.select("role_id", F.col("ts").alias("valid_from"), to.alias("valid_to"), "value", "wc")
 
 
@@ -72,7 +79,7 @@ def exact_sequence(lineage: DataFrame, frame: TimeFrame, end: date) -> DataFrame
 
 def dedupe(lineage: DataFrame) -> DataFrame:
     """Drop entries equal to their predecessor."""
-    p = F.lag(F.struct("value", "wc")).over(W)
+    p = F.lag(F.struct("value", "wc")).over(by_time())
     kept = lineage.withColumn("__p", p).where(F.col("__p").isNull() | ~same_raw(F.col("value"), F.col("wc"), F.col("__p.value"), F.col("__p.wc")))
     return kept.drop("__p")
 
@@ -129,7 +136,7 @@ def steps(lineage: DataFrame, skip_wildcards: bool = True) -> DataFrame:
     """role_id, ts, prev, after (entries as text), prev_ts: consecutive entries."""
     rows = lineage.where(KNOWN()) if skip_wildcards else lineage
     now = shown(F.col("value"), F.col("wc"))
-    s = rows.select("role_id", "ts", F.lag(now).over(W).alias("prev"), now.alias("after"), F.lag("ts").over(W).alias("prev_ts"), "value", F.lag("value").over(W).alias("prev_value"))
+    s = rows.select("role_id", "ts", F.lag(now).over(by_time()).alias("prev"), now.alias("after"), F.lag("ts").over(by_time()).alias("prev_ts"), "value", F.lag("value").over(by_time()).alias("prev_value"))
     return s.where("prev_ts is not null")
 
 
@@ -138,9 +145,9 @@ def transitions(lineage: DataFrame, include_same: bool = False, ignore_interleav
     if ignore_interleaved:
         found = steps(lineage)
     else:
-        w = F.lag("wc").over(W)
+        w = F.lag("wc").over(by_time())
         now = shown(F.col("value"), F.col("wc"))
-        all_ = lineage.select("role_id", "wc", now.alias("after"), F.lag(now).over(W).alias("prev"), w.alias("pw"), F.lag("ts").over(W).alias("prev_ts"))
+        all_ = lineage.select("role_id", "wc", now.alias("after"), F.lag(now).over(by_time()).alias("prev"), w.alias("pw"), F.lag("ts").over(by_time()).alias("prev_ts"))
         found = all_.where("prev_ts is not null and wc is null and pw is null")
     return (found if include_same else found.where("prev <> after")).select("role_id", "prev", "after").distinct()
 
@@ -155,7 +162,7 @@ def informative_transitions(lineage: DataFrame) -> DataFrame:
 def transition_set(lineage: DataFrame, granularity: int, end: date, skip_wildcards: bool = True) -> DataFrame:
     """Distinct role_id, prev, after before end, with (x, x) for values held longer than the granularity."""
     rows = lineage.where(F.col("ts") < F.lit(end))
-    s = steps(rows, skip_wildcards).withColumn("last", F.lead("ts").over(W).isNull())
+    s = steps(rows, skip_wildcards).withColumn("last", F.lead("ts").over(by_time()).isNull())
     pair = lambda a, b: F.struct(F.col(a).alias("prev"), F.col(b).alias("after"))
     made = F.array_compact(F.array(pair("prev", "after"), F.when(F.datediff("ts", "prev_ts") > granularity, pair("prev", "prev")), F.when(F.col("last") & (F.col("ts") < F.lit(end)), pair("after", "after"))))
     return s.select("role_id", F.explode(made).alias("t")).select("role_id", "t.prev", "t.after").distinct()
@@ -168,8 +175,8 @@ def transition_histogram(transition_rows: DataFrame) -> DataFrame:
 
 def change_counts(lineage: DataFrame) -> DataFrame:
     """role_id, least, most: certain changes, and possible ones if every unknown entry hides a change."""
-    known = F.last(F.when(KNOWN(), F.struct("value")), ignorenulls=True).over(W.rowsBetween(Window.unboundedPreceding, -1))
-    prev = F.lag(F.struct("value", "wc")).over(W)
+    known = F.last(F.when(KNOWN(), F.struct("value")), ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, -1))
+    prev = F.lag(F.struct("value", "wc")).over(by_time())
     rows = lineage.select("role_id", "value", "wc", known.alias("k"), prev.alias("p"))
     certain = KNOWN() & F.col("k").isNotNull() & ~F.col("value").eqNullSafe(F.col("k.value"))
     possible = F.col("p").isNotNull() & (F.col("wc").isNotNull() | ~same_raw(F.col("value"), F.col("wc"), F.col("p.value"), F.col("p.wc")))
@@ -215,7 +222,7 @@ def decay(lineage: DataFrame, theta: float, frame: TimeFrame) -> DataFrame:
     """
     if theta >= 1:
         return lineage
-    nxt = F.lead("ts").over(W)
+    nxt = F.lead("ts").over(by_time())
     rows = lineage.withColumn("__next", nxt)
     dur = F.when(F.col("__next") <= F.lit(frame.train_end), F.datediff("__next", "ts"))
     cut = rows.groupBy("role_id").agg(F.array_sort(F.collect_list(dur)).alias("__d"))
@@ -231,7 +238,7 @@ def decay(lineage: DataFrame, theta: float, frame: TimeFrame) -> DataFrame:
 
 def irregular_roles(lineage: DataFrame, least_size: int = 20, least_known: int = 10) -> DataFrame:
     """Roles whose gaps between changes vary by more than twice their mean; the first two entries don't count."""
-    rows = lineage.withColumn("__i", F.row_number().over(W)).withColumn("__p", F.lag("ts").over(W))
+    rows = lineage.withColumn("__i", F.row_number().over(by_time())).withColumn("__p", F.lag("ts").over(by_time()))
     gap = F.when(F.col("__i") > 2, F.datediff("ts", "__p"))
     s = rows.groupBy("role_id").agg(F.count(F.lit(1)).alias("size"), F.count_if(KNOWN()).alias("n_known"), F.avg(gap).alias("mean_gap"), F.stddev_pop(gap).alias("sd_gap"))
     return s.where((F.col("size") > least_size) & (F.col("n_known") > least_known) & (F.col("sd_gap") > 2 * F.col("mean_gap")))

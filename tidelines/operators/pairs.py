@@ -62,7 +62,7 @@ def merge(pairs: DataFrame, lineage: DataFrame) -> DataFrame:
 
 def _changes(lineage: DataFrame) -> DataFrame:
     """Entries after the first with the entry before and the last known value before."""
-    w = L.W
+    w = L.by_time()
     known = F.last(F.when(F.col("wc").isNull(), F.struct("value")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = lineage.select("role_id", "ts", "value", "wc", F.lag(F.struct("value", "wc")).over(w).alias("p"), known.alias("k"))
     return rows.where("p is not null and wc is null")
@@ -180,7 +180,7 @@ def decay_score(pairs: DataFrame, lineage: DataFrame, frame: TimeFrame, step: fl
     thetas at which either cutoff moves, all in one aggregation.
     """
     thetas = [round(1 - i * step, 6) for i in range(int(round(1 / step)) + 1)]
-    rows = lineage.withColumn("nx", F.lead("ts").over(L.W))
+    rows = lineage.withColumn("nx", F.lead("ts").over(L.by_time()))
     dur = F.when(F.col("nx") <= F.lit(frame.train_end), F.datediff("nx", "ts"))
     cuts = rows.groupBy("role_id").agg(F.array_sort(F.collect_list(dur)).alias("ds"))
     end = F.lit(frame.end)

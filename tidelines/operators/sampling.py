@@ -67,7 +67,7 @@ def split(rows: DataFrame, shares: tuple[float, float] = (0.6, 0.8), seed: str =
 
 def feature_table(lineage: DataFrame, frame: TimeFrame, n: int = 50) -> DataFrame:
     """role_id, features: (date, value, days) of the first n changes, padded to 3 * n entries."""
-    to = F.coalesce(F.lead("ts").over(L.W), F.lit(frame.end))
+    to = F.coalesce(F.lead("ts").over(L.by_time()), F.lit(frame.end))
     e = F.struct("ts", F.array(F.col("ts").cast("string"), csv_safe(shown(F.col("value"), F.col("wc"))), F.datediff(to, "ts").cast("string")).alias("s"))
     rows = lineage.withColumn("e", e).groupBy("role_id").agg(F.slice(F.array_sort(F.collect_list("e")), 1, n).alias("es"))
     flat = F.flatten(F.transform("es", lambda x: x["s"]))
@@ -83,7 +83,7 @@ def pair_features(pairs: DataFrame, lineage: DataFrame, frame: TimeFrame, n: int
 
 def ml_record(lineage: DataFrame, frame: TimeFrame, n: int = 50) -> DataFrame:
     """role_id, record: COL date VAL value COL Di VAL days of the first n changes."""
-    to = F.coalesce(F.lead("ts").over(L.W), F.lit(frame.end))
+    to = F.coalesce(F.lead("ts").over(L.by_time()), F.lit(frame.end))
     e = F.struct(F.col("ts").alias("ts"), ml_safe(shown(F.col("value"), F.col("wc"))).alias("v"), F.datediff(to, "ts").alias("n"))
     rows = lineage.withColumn("e", e).groupBy("role_id").agg(F.slice(F.array_sort(F.collect_list("e")), 1, n).alias("es"))
     text = F.transform("es", lambda x, i: F.concat_ws(" ", F.lit("COL"), x["ts"].cast("string"), F.lit("VAL"), x["v"], F.concat(F.lit("COL D"), i.cast("string")), F.lit("VAL"), x["n"].cast("string")))

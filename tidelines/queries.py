@@ -139,7 +139,7 @@ on_events("id_parts", "SELECT DISTINCT role_id, split_part(role_id, '||', 1) AS
 
 def irregular(h: DataFrame) -> DataFrame:
     """irregular_roles with bounds for histories as short as the orders'."""
-    w = h.withColumn("__i", F.row_number().over(L.W)).withColumn("__p", F.lag("ts").over(L.W))
+    w = h.withColumn("__i", F.row_number().over(L.by_time())).withColumn("__p", F.lag("ts").over(L.by_time()))
     gap = F.when(F.col("__i") > 2, F.datediff("ts", "__p"))
     s = w.groupBy("role_id").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("wc").isNull()).alias("n_known"), F.avg(gap).alias("mean_gap"), F.stddev_pop(gap).alias("sd_gap"))
     return s.where("size > 4 and n_known > 2 and sd_gap > 0.5 * mean_gap").select("role_id", "size", "n_known", r6("mean_gap"), r6("sd_gap"))
