@@ -108,7 +108,7 @@ def _examples(rows):
         yield pd.DataFrame(out, columns=["label", "f", "n", "a", "b"])
 
 
-def fit(examples: list, swap_weight: float = 1.0, l2: float = 2e-3, steps: int = 300) -> LinearModel:
+def fit(examples: list, swap_weight: float = 1.0, l2: float = 5e-4, steps: int = 300) -> LinearModel:
     """examples: rows of label, feature ids, counts, and the features before and after each swap (ended by -1)."""
     y = np.array([e[0] for e in examples], np.float64)
     if len(set(y.tolist())) < 2:
@@ -122,7 +122,7 @@ def fit(examples: list, swap_weight: float = 1.0, l2: float = 2e-3, steps: int =
     pos, neg = (np.bincount(col[(y == c)[row]], minlength=size) + 0.5 for c in (1, 0))
     p, q = (y == 1).sum() + 1.0, (y == 0).sum() + 1.0
     z = np.log(pos / p * q / neg) / np.sqrt(1 / pos + 1 / neg)
-    keep = np.flatnonzero((np.abs(z) > 3.5) & (pos + neg >= 5))
+    keep = np.flatnonzero((np.abs(z) > 2.0) & (pos + neg >= 4))
     place = np.full(size, -1, np.int64)
     place[keep] = np.arange(len(keep))
     used = place[col] >= 0
