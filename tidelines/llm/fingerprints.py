@@ -87,10 +87,11 @@ def compare(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text") ->
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[doc_id].cast("bigint"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
     met = rows.join(neighbours(docs, doc_id, text_col).hint("shuffle_merge"), ["k", "h"])
-    one = Window.partitionBy("k", "h").orderBy("bn")
+    # both uses of rows keep the same columns, so that their shuffle is done once
+    one = Window.partitionBy("k", "h").orderBy("doc_id")
     sent = met.withColumn("__tl_no", F.row_number().over(one)).where("__tl_no = 1")
     sent = with_anchors(sent, "text", "next_anchors").select(F.col("bk").alias("k"), F.col("bh").alias("h"), F.col("text").substr(F.lit(1), F.floor(F.col("bn") / 4).cast("int")).alias("taken"), "next_anchors")
-    pairs = met.select("k", "h", "doc_id", "text").join(sent.hint("shuffle_merge"), ["k", "h"])
+    pairs = rows.join(sent.hint("shuffle_merge"), ["k", "h"])
     n = F.length("text")
     pairs = pairs.withColumn("n_chars", n.cast("bigint")).withColumn("edited", F.concat(F.col("text").substr(F.lit(1), n - F.floor(n / 4).cast("int")), F.col("taken")))
     out = with_anchors(with_anchors(pairs, "text", "anchors"), "edited", "edited_anchors")
