@@ -61,7 +61,11 @@ class PrefixEncoder:
         if (ok := self.pairs.get((left, token))) is None:
             if len(self.pairs) >= 1_000_000:
                 self.pairs.clear()
-            ok = self.pairs[left, token] = self.merged(self.tokens[left] + self.tokens[token]) == [left, token]
+            both = self.tokens[left] + self.tokens[token]
+            # a token that stands for both, and encodes to itself, is their encoding
+            whole = self.ranks.get(both)
+            ok = not (whole is not None and self.fits(None, whole)) and self.merged(both) == [left, token]
+            self.pairs[left, token] = ok
         return ok
 
     def last_token(self, data: bytes, end: int, last: list) -> int:
@@ -94,15 +98,18 @@ class PrefixEncoder:
 
     def needed(self, data: bytes, end: int, last: list) -> int:
         """last_token() that asks for shorter prefixes only where a candidate needs them, the longest candidate first."""
-        ranks, pairs = self.ranks, self.pairs
-        for start in range(end):
-            if (token := ranks.get(data[start:end])) is None:
+        rank, pairs = self.ranks.get, self.pairs
+        if (token := rank(data[:end])) is not None and (self.alone.get(token) or self.fits(None, token)):
+            last[end] = token
+            return token
+        for start in range(max(1, end - self.longest), end):
+            if (token := rank(data[start:end])) is None:
                 continue
-            if start and (left := last[start]) is None:
+            left = last[start]
+            if left is None:
                 left = self.needed(data, start, last)
-            if not start:
-                left = None
-            if ok if (ok := pairs.get((left, token))) is not None else self.fits(left, token):
+            ok = pairs.get((left, token))
+            if ok or ok is None and self.fits(left, token):
                 last[end] = token
                 return token
         raise ValueError("the vocabulary lacks a single byte")
