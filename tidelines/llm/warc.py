@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import materialize
+
 MAGIC = b"WARC/1.0\r\n"
 END = "\r\n\r\n"
 #: Archives hold about this many bytes at most, so that a reader's task can hold one.
@@ -30,12 +32,14 @@ RECORD_SCHEMA = "path string, start long, next long, size long, record_id string
 def records(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     """id, record: a WARC record by page, repeated payloads as revisits.
 
-    The smallest id by digest comes from an aggregation that combines before it shuffles; only digests that occur twice enter
-    the join, which Spark splits where one digest is hot.
+    The smallest id by digest comes from an aggregation that combines before it shuffles. Only digests that occur twice enter the
+    join, as a written table of known size: a small one is broadcast, so that payloads aren't shuffled; for a large one Spark
+    shuffles and splits where one digest is hot.
     """
     payload = F.coalesce(pages["html"], F.lit(""))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), payload.alias("payload"), F.sha2(F.encode(payload, "UTF-8"), 256).alias("digest"), F.octet_length(payload).cast("bigint").alias("size"))
     first = rows.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    first = materialize(first, "repeated")
     joined = rows.join(first, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
