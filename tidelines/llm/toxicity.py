@@ -102,22 +102,24 @@ def _examples(rows):
         out = []
         for label, text in zip(pdf["label"], pdf["text"], strict=True):
             words = [f for raw in set((text or "").split()) for f in features[raw]]
-            f, n = np.unique(np.array(words, np.int32), return_counts=True)
+            found = np.unique(np.array(words, np.int32), return_counts=True)
             pairs = swaps(text or "")
-            out.append((label, f.tolist(), n.tolist(), [x for a, _ in pairs for x in [*word_features(a), -1]], [x for _, b in pairs for x in [*word_features(b), -1]]))
+            found += tuple([x for pair in pairs for x in [*word_features(pair[i]), -1]] for i in (0, 1))
+            out.append((label, *(np.asarray(x, np.int32).tobytes() for x in found)))
         yield pd.DataFrame(out, columns=["label", "f", "n", "a", "b"])
 
 
 def fit(examples: list, swap_weight: float = 1.0, l2: float = 5e-4, steps: int = 300) -> LinearModel:
-    """examples: rows of label, feature ids, counts, and the features before and after each swap (ended by -1)."""
+    """examples: rows of label, feature ids, counts, and the features before and after each swap (ended by -1), packed as int32."""
+    examples = [(e[0], *(np.frombuffer(x, np.int32) for x in e[1:5])) for e in examples]
     y = np.array([e[0] for e in examples], np.float64)
     if len(set(y.tolist())) < 2:
         return LinearModel(np.zeros(0, np.int64), np.zeros(0), -30.0)
     size = 1 << BITS
     lengths = [len(e[1]) for e in examples]
-    row = np.repeat(np.arange(len(examples)), lengths)
-    col = np.concatenate([np.asarray(e[1], np.int64) for e in examples])
-    val = np.concatenate([np.asarray(e[2], np.float64) for e in examples])
+    row = np.repeat(np.arange(len(examples), dtype=np.int32), lengths)
+    col = np.concatenate([e[1] for e in examples])
+    val = np.concatenate([e[2] for e in examples])
     # only features that tell the classes apart by more than chance enter the model
     pos, neg = (np.bincount(col[(y == c)[row]], minlength=size) + 0.5 for c in (1, 0))
     p, q = (y == 1).sum() + 1.0, (y == 0).sum() + 1.0
@@ -126,7 +128,7 @@ def fit(examples: list, swap_weight: float = 1.0, l2: float = 5e-4, steps: int =
     place = np.full(size, -1, np.int64)
     place[keep] = np.arange(len(keep))
     used = place[col] >= 0
-    row, col, val = row[used], place[col[used]], np.minimum(val[used], 3)
+    row, col, val = row[used], place[col[used]], np.minimum(val[used], 3).astype(np.float64)
     d_row, d_col, d_val, n = [], [], [], 0
     for e in examples:
         for sign, ids in ((1.0, e[3]), (-1.0, e[4])):
@@ -164,9 +166,9 @@ def train(docs: DataFrame, labels: DataFrame, swap_weight: float = 1.0, sample:
     parts = [labels.where(F.col("label") == c).orderBy(F.xxhash64(F.col("doc_id"), F.lit(17)), "doc_id").limit(n) for c, n in (sample or SAMPLE).items()]
     chosen = parts[0].unionByName(parts[1])
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
-    examples = rows.mapInPandas(_examples, "label int, f array<int>, n array<int>, a array<int>, b array<int>").collect()
+    examples = rows.mapInPandas(_examples, "label int, f binary, n binary, a binary, b binary").collect()
     # a fixed order makes the fit the same on every run
-    return fit(sorted(map(tuple, examples), key=lambda e: (e[0], hashlib.sha256(np.asarray(e[1], np.int32).tobytes()).digest())), swap_weight)
+    return fit(sorted(map(tuple, examples), key=lambda e: (e[0], hashlib.sha256(e[1]).digest())), swap_weight)
 
 
 def score_column(text: Column, model: LinearModel) -> Column:
