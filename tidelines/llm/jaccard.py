@@ -196,8 +196,8 @@ def index_rows(docs: DataFrame, frequent: np.ndarray, width: int, num: int, den:
     return docs.select(docs[text_col].alias("text")).mapInArrow(run, "key long, cls long, n int")
 
 
-def tiles(index: DataFrame) -> DataFrame:
-    """key, ti, tj, salt, cls, n: the members of every key with several classes, split into tiles.
+def tiles(index: DataFrame, num: int, den: int) -> DataFrame:
+    """key, ti, tj, salt, cls, n: the members of every key with several classes, split into tiles, if a tile holds another of fitting size.
 
     Of keys with the same members one stays: count, least, greatest and exclusive-or of their hashes tell them apart without
     gathering them.
@@ -209,7 +209,11 @@ def tiles(index: DataFrame) -> DataFrame:
     salt = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("g")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
     split = members.withColumn("salt", salt).withColumn("o", other).select("key", F.least("salt", "o").alias("ti"), F.greatest("salt", "o").alias("tj"), "salt", "cls", "n")
-    return materialize(split, "tiles")
+    # the neighbour in size is the likeliest to fit; a tile's size bounds the window, and the rows already lie by key
+    tile, n = Window.partitionBy("key", "ti", "tj").orderBy("n", "cls"), F.col("n").cast("bigint")
+    sized = split.withColumns({"less": F.lag(n).over(tile), "more": F.lead(n).over(tile)})
+    fits = (F.col("less") * den >= n * num) | (n * den >= F.col("more") * num)
+    return materialize(sized.where(fits).drop("less", "more"), "tiles")
 
 
 def tile_pairs(cls, n, salt, sketches: list[bytes], part, ti: int, tj: int, num: int, den: int, closest: bool):
@@ -406,7 +410,7 @@ def join_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
     reps = classes.select("cls", "id")
     valid = docs.where(docs[id_col].isNotNull())
     sketches = classes.select("cls", "sketch")
-    tiled = tiles(materialize(index_rows(valid, frequent_table(profiled), width, num, den, text_col), "prefixes"))
+    tiled = tiles(materialize(index_rows(valid, frequent_table(profiled), width, num, den, text_col), "prefixes"), num, den)
     check = lambda found: verified(found.where("a is not null").select("a", "b").distinct(), docs, reps, width, num, den, id_col, text_col)
     first = materialize(candidates(tiled, sketches, num, den), "pairs")
     links = check(first)
