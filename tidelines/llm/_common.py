@@ -56,13 +56,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def worker_state(key: str, make):
-    """Something that one Python worker keeps between its tasks (a parsed vocabulary, a word cache)."""
+    """Something that one Python worker keeps between its tasks (a parsed vocabulary, a word cache).
+
+    Workers outlive stages, so only the two that were used last stay: what earlier stages held makes room.
+    """
     import sys as _sys
 
     states = _sys.__dict__.setdefault("_tidelines_states", {})
-    if key not in states:
-        if len(states) > 8:
-            states.clear()
+    if key in states:
+        states[key] = states.pop(key)
+    else:
+        while len(states) > 1:
+            del states[next(iter(states))]
         states[key] = make()
     return states[key]
 

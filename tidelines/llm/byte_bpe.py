@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ._common import bound_batches, memo, worker_state
 
 #: A worker's piece cache holds up to twice as many entries. Longer pieces are encoded anew each time.
-CACHE_PIECES, CACHED_LENGTH = 400_000, 48
+CACHE_PIECES, CACHED_LENGTH = 200_000, 48
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -59,7 +59,7 @@ class PrefixEncoder:
                 ok = self.alone[token] = self.merged(self.tokens[token]) == [token]
             return ok
         if (ok := self.pairs.get((left, token))) is None:
-            if len(self.pairs) >= 1_000_000:
+            if len(self.pairs) >= 400_000:
                 self.pairs.clear()
             both = self.tokens[left] + self.tokens[token]
             # a token that stands for both, and encodes to itself, is their encoding

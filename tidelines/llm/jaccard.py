@@ -63,7 +63,7 @@ def shingles(text: str | None, width: int, words: dict) -> np.ndarray:
 def word_hashes() -> dict:
     import xxhash
 
-    return worker_state("jaccard-words", lambda: memo(xxhash.xxh3_64_intdigest, 400_000, 48))
+    return worker_state("jaccard-words", lambda: memo(xxhash.xxh3_64_intdigest, 100_000, 48))
 
 
 def class_of(s: np.ndarray) -> int | None:
