@@ -318,6 +318,18 @@ def test_byte_bpe_appends_and_edits():
     assert x.ids() == e.encode(x.data) and done < len(x.data) / 2
 
 
+def test_both_pattern_engines_split_alike():
+    import regex
+
+    split, every = byte_bpe.splitter(public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN)
+    rng = random.Random(10)
+    odd = "aé1٣  \x1c\x85 \t\n'sdx。字😀𝒜\u3000\u200b½Ⅷ_.,\u0301"
+    for _ in range(3000):
+        t = "".join(rng.choice(odd) if rng.random() < 0.9 else chr(rng.choice([rng.randrange(0xD800), rng.randrange(0xE000, 0x11000)])) for _ in range(rng.randrange(30)))
+        assert split(t) == every.findall(t)
+    assert byte_bpe.plain_pattern(r"[^\d]") is None and byte_bpe.plain_pattern(r"[\S]") is None
+
+
 # op10
 def test_weak_labels_learn_accuracies():
     rng = random.Random(10)
