@@ -330,6 +330,13 @@ def test_both_pattern_engines_split_alike():
     assert byte_bpe.plain_pattern(r"[^\d]") is None and byte_bpe.plain_pattern(r"[\S]") is None
 
 
+def test_texts_are_encoded_once_however_often_ids_are_read(spark, capsys):
+    ranks = queries._vocabulary("byte_bpe_50k.tiktoken")
+    out = byte_bpe.decode_documents(byte_bpe.encode_documents(odd_docs(spark), ranks, public_tokenizers.PATTERN), ranks)
+    out.select("n_tokens", "decoded", byte_bpe.ids_digest_column(F.col("token_ids")).alias("d")).explain()
+    assert capsys.readouterr().out.count("encode(text") == 1
+
+
 # op10
 def test_weak_labels_learn_accuracies():
     rng = random.Random(10)

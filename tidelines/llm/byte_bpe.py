@@ -230,7 +230,8 @@ def encode_column(text: Column, ranks: bytes, pattern: str) -> Column:
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), "<i4")))
 
     encode.__annotations__ = {}
-    return F.arrow_udf(encode, "array<int>", F.ArrowUDFType.SCALAR)(text)
+    # Coalesced, though never null: functions chained straight onto this one would each encode the texts again.
+    return F.coalesce(F.arrow_udf(encode, "array<int>", F.ArrowUDFType.SCALAR)(text), F.array().cast("array<int>"))
 
 
 def decode_column(ids: Column, ranks: bytes) -> Column:
