@@ -78,6 +78,20 @@ def test_ann_recall_and_ties(spark):
     assert sum(len(set(got[q]) & set(want[q])) for q in want) / sum(map(len, want.values())) >= 0.9
 
 
+def test_ann_recall_in_full_blocks_of_isotropic_rows():
+    rng = np.random.default_rng(2)
+    ids, v = np.arange(8192), rng.normal(size=(8192, 64))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    books = ann.learn(unit[:4096])
+    some = ids[ids % 50 == 0]
+    found = ann.search_block(books, some, v[some], ids, v, *books.encode(unit.astype(np.float32)), 5, ann.RERANK)
+    want = ann.exact_neighbours(ids, v, some)
+    got = defaultdict(set)
+    for q, i in zip(*found[:2]):
+        got[int(q)].add(int(i))
+    assert np.mean([len(got[q] & set(want[q])) / 5 for q in want]) >= 0.95
+
+
 def test_ann_small_and_empty(spark):
     schema = "vec_id long, embedding array<float>"
     index, books = ann.build_index(spark.createDataFrame([(0, [1.0, 0.0]), (50, [1.0, 1.0]), (51, [0.0, 2.0])], schema))

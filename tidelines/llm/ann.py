@@ -26,8 +26,9 @@ from ._common import bound_batches, materialize
 #: Rows of the sample that the codebooks are learnt on.
 SAMPLE = 8192
 BOOKS, WORDS, BEAM = 8, 256, 4
-#: Rows of a block that are scored exactly for each query, and queries in a block.
-RERANK, QUERY_BLOCK = 48, 2048
+#: Rows of a block that are scored exactly for each query, and queries in a block. On 64-dimensional, almost isotropic rows in
+#: blocks of 8192, 48 rows find two thirds of the true five, 512 rows 0.96 and 1024 rows 0.99.
+RERANK, QUERY_BLOCK = 1024, 2048
 RESULT_SCHEMA = "query_id long, vec_id long, score double"
 
 
