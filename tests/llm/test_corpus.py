@@ -259,6 +259,13 @@ def test_jaccard_components(spark, width, num, den, monkeypatch):
     assert got == components(data, width, num, den)
 
 
+def test_keys_with_copies_in_several_tasks_keep_their_own_members(spark):
+    keys = {1: [-9, 4, 70], 2: [-9, 5, 70], 3: [-9, 6, 7, 70], 4: [-9, 8, 11, 70]}
+    rows = [(k, c, 20) for k, classes in keys.items() for c in classes] * 2
+    got = jaccard.tiles(spark.createDataFrame(rows, "key long, cls long, n int").repartition(3), 90, 100).select("key", "cls").collect()
+    assert sorted(got) == sorted((k, c) for k, classes in keys.items() for c in classes)
+
+
 def test_jaccard_odd_rows(spark):
     docs = odd_docs(spark)
     got = sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard.join_components(docs).collect())

@@ -200,12 +200,13 @@ def tiles(index: DataFrame, num: int, den: int) -> DataFrame:
     """key, ti, tj, salt, cls, n: the members of every key with several classes, split into tiles, if a tile holds another of fitting size.
 
     Of keys with the same members one stays: count, least, greatest and exclusive-or of their hashes tell them apart without
-    gathering them.
+    gathering them. A class comes once from each task that holds a copy, and would cancel out, so it counts once for a key.
     """
-    # these combine before the shuffle
+    # dealt by key once, for both uses
+    index = index.repartition("key").distinct()
     by_key = index.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.bit_xor("cls").alias("x"))
     kept = by_key.where("lo < hi").groupBy("m", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / TILE).cast("int").alias("g"))
-    members = index.join(kept, "key").dropDuplicates(["key", "cls"])
+    members = index.join(kept, "key")
     salt = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("g")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
     split = members.withColumn("salt", salt).withColumn("o", other).select("key", F.least("salt", "o").alias("ti"), F.greatest("salt", "o").alias("tj"), "salt", "cls", "n")
