@@ -3,7 +3,7 @@
 import hashlib
 import random
 from collections import defaultdict
-from math import exp
+from math import exp, lgamma, log
 
 import duckdb
 import numpy as np
@@ -301,6 +301,13 @@ def test_mixing_matches_sql(spark):
     assert got == want
 
 
+def test_high_rates_stay_exact(spark):
+    for rate in (0.0, 0.3, 40.0, 770.0, 1000.0):
+        steps = spark.range(1).select(mixing.poisson_steps(F.lit(rate)).alias("s")).first().s
+        terms = [exp(-rate + k * log(rate) - lgamma(k + 1)) if rate else float(k == 0) for k in range(len(steps))]
+        assert steps == pytest.approx(list(np.cumsum(terms)), rel=1e-9, abs=1e-12)
+
+
 def test_mixing_rates_and_odd_rows(spark):
     docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "b").alias("source"), F.lit("x").alias("copy"))
     n = {r.source: r["count"] for r in mixing.mix(docs, {"hot": 1.0, "b": 3.0}, total=20000).groupBy("source").count().collect()}

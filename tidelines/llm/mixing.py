@@ -28,12 +28,19 @@ def uniform(key: Column, seed: str) -> Column:
 def poisson_steps(rate: Column) -> Column:
     """Cumulative probabilities of 0, 1, 2, ... copies, up to where they can't be told from 1.
 
-    Rates above 30 are beyond what repeating helps a model, but stay exact: the table grows with the rate alone.
+    Rates above 30 are beyond what repeating helps a model, but stay exact: the table grows with the rate alone. Terms are taken
+    relative to the one at the mode, outwards from it, and then over their sum, as exp(-rate) is 0 for large rates.
     """
     last = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("sums"))
-    step = lambda acc, k: F.struct((acc["p"] * rate / k).alias("p"), F.concat(acc["sums"], F.array(F.element_at(acc["sums"], -1) + acc["p"] * rate / k)).alias("sums"))
-    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["sums"])
+    mode, some = F.floor(rate).cast("int"), F.greatest(rate, F.lit(1e-300))
+    none = F.array().cast("array<double>")
+    down = lambda acc, i: F.struct((acc["p"] * (mode - i) / some).alias("p"), F.concat(acc["terms"], F.array(acc["p"])).alias("terms"))
+    up = lambda acc, k: F.struct((acc["p"] * rate / k).alias("p"), F.concat(acc["terms"], F.array(acc["p"] * rate / k)).alias("terms"))
+    start = F.struct(F.lit(1.0).alias("p"), none.alias("terms"))
+    below = F.aggregate(F.sequence(F.lit(0), mode), start, down, lambda acc: F.reverse(acc["terms"]))
+    above = F.aggregate(F.sequence(mode + 1, last), start, up, lambda acc: acc["terms"])
+    add = lambda acc, t: F.struct((acc["p"] + t).alias("p"), F.concat(acc["sums"], F.array(acc["p"] + t)).alias("sums"))
+    return F.aggregate(F.concat(below, above), F.struct(F.lit(0.0).alias("p"), none.alias("sums")), add, lambda acc: F.transform(acc["sums"], lambda s: s / acc["p"]))
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, temperature: float = 0.5, default_weight: float = 0.0, source_col: str = "source") -> DataFrame:
