@@ -22,3 +22,11 @@ def test_same_rows(spark, name):
     for t in ("events", "orders"):
         con.sql(f"create view {t} as select * from '{D}/{t}.parquet'")
     assert plain(QUERIES[name](spark, D).toPandas()) == plain(con.sql(ORACLE_SQL[name]).df())
+
+
+def test_feature_table_50_holds_all_entries(spark):
+    entries = QUERIES["histories"](spark, D).groupBy("role_id").count().collect()
+    table = {r.role_id: r.features.split("|") for r in QUERIES["feature_table_50"](spark, D).collect()}
+    assert max(r["count"] for r in entries) > 10
+    assert {r.role_id: r["count"] for r in entries} == {i: sum(f[:5] == "2024-" for f in x[::3]) for i, x in table.items()}
+    assert {len(x) for x in table.values()} == {150}

@@ -219,6 +219,7 @@ on_pairs("train_split", f"SELECT id1, id2, CASE WHEN u < 0.6 THEN 'train' WHEN u
 on_events("agreeing_pairs", CP + ", A AS (SELECT id1, id2, count(DISTINCT v1) FILTER (WHERE i > 1 AND w1 IS NULL AND w2 IS NULL AND v1 = v2) AS dva_count FROM CP GROUP BY 1, 2) SELECT id1, id2, weight AS va_count, dva_count FROM PW JOIN A USING (id1, id2) WHERE dva_count >= 2", lambda h: S.agreeing_pairs(h, EVENTS, 4, 2))
 FT = ", A AS (SELECT role_id, ts, CAST(coalesce(lead(ts) OVER (PARTITION BY role_id ORDER BY ts), DATE '2024-01-30') - ts AS VARCHAR) AS n, " + TXT + " AS s, row_number() OVER (PARTITION BY role_id ORDER BY ts) AS i FROM L) "
 on_events("feature_table", FT + "SELECT role_id, string_agg(CAST(ts AS VARCHAR) || '|' || s || '|' || n, '|' ORDER BY i) || repeat('|', 3 * (10 - CAST(count(*) AS INT))) AS features FROM A WHERE i <= 10 GROUP BY 1", lambda h: S.feature_table(h, EVENTS, 10).select("role_id", F.array_join("features", "|").alias("features")))
+on_events("feature_table_50", None, lambda h: S.feature_table(h, EVENTS).select("role_id", F.array_join("features", "|").alias("features")))
 on_events("ml_record", FT + "SELECT role_id, string_agg('COL ' || CAST(ts AS VARCHAR) || ' VAL ' || s || ' COL D' || (i - 1) || ' VAL ' || n, ' ' ORDER BY i) AS record FROM A WHERE i <= 50 GROUP BY 1", lambda h: S.ml_record(h, EVENTS))
 on_events("missing_changes", f""", A AS (SELECT *, wc IS NULL AND ts < DATE '2024-01-21' AS hit FROM L), B AS (SELECT *, row_number() OVER (PARTITION BY role_id, hit ORDER BY md5(role_id || '|' || CAST(ts AS VARCHAR) || '|13')) AS i, count(*) FILTER (WHERE hit) OVER (PARTITION BY role_id) AS n FROM A),
 D AS (SELECT role_id, ts, CASE WHEN hit AND i <= floor(n * 0.3) THEN NULL ELSE value END AS value, CASE WHEN hit AND i <= floor(n * 0.3) THEN 'DE' ELSE wc END AS wc FROM B)
