@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidelines.queries import ORACLE_SQL, QUERIES
+from tidelines.queries import EV3, ORACLE_SQL, QUERIES
 
 D = "/root/testdata/sf0.001"
 NAMES = ["histories", "decay", "transition_set", "change_counts", "block_counts", "compatible_pairs", "compatible_pairs_transition", "evidence", "pair_stats", "class_label", "ingest_no_decay", "feature_table", "weighted_sample"]
@@ -30,3 +30,12 @@ def test_feature_table_50_holds_all_entries(spark):
     assert max(r["count"] for r in entries) > 10
     assert {r.role_id: r["count"] for r in entries} == {i: sum(f[:5] == "2024-" for f in x[::3]) for i, x in table.items()}
     assert {len(x) for x in table.values()} == {150}
+
+
+def test_all_pairs_that_share_a_value(spark):
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{D}/events.parquet'")
+    want = con.sql(EV3.replace("HAVING count(*) >= 4", "") + "SELECT id1, id2, weight FROM PW").df()
+    assert (want.weight < 4).any()
+    assert plain(QUERIES["block_weights_all_pairs"](spark, D).toPandas()) == plain(want)
+    assert QUERIES["evidence_all_pairs"](spark, D).count() == len(want)

@@ -78,8 +78,9 @@ def on_orders(name: str, sql: str | None, f: Callable[[DataFrame], DataFrame]) -
 
 
 def on_pairs(name: str, sql: str | None, f: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-    """A query on pairs of event histories that share a value on four days or more."""
+    """A query on pairs of event histories that share a value on four days or more, and without SQL on all that share one on a day."""
     on_events(name, sql, lambda h: f(S.block_weights(h, EVENTS).where("weight >= 4"), h))
+    on_events(f"{name}_all_pairs", None, lambda h: f(S.block_weights(h, EVENTS), h))
 
 
 END = EVENTS.train_end
