@@ -11,25 +11,10 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidelines.llm import ann, byte_bpe, chat, fingerprints, jaccard, mixing, quality, queries, token_counts, toxicity, warc
+from tidelines.llm import ann, byte_bpe, chat, fingerprints, mixing, quality, queries, token_counts, toxicity, warc
 from tidelines.llm._common import fresh_path
 
-D = "/root/testdata/sf0.001"
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, n_tokens string"
-WORDS = "the of and licht haus über maison été niño 7up 中文 🙂 a,b x.y".split()
-
-
-def sha(x):
-    return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
-
-
-def odd_docs(spark, more=()):
-    """Nulls in any column, empty and long texts, ties and repeated rows, columns with clashing names."""
-    rng = random.Random(5)
-    long = " ".join(rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(30000))
-    rows = [(1, "", None, "s", 0), (2, None, "en", None, None), (None, "no id here at all", "en", "s", 3), (4, long, "en", "s", 1), (5, long, "en", "s", 1), (6, "one", None, None, None), (7, " \t\n", "en", "s", 3), (7, " \t\n", "en", "s", 3), (8, "x" * 5000, "en", "s", 9), *more]
-    return spark.createDataFrame([(*r, "clash", "clash") for r in rows], DOCS).repartition(3)
-
+from .odd import DOCS, WORDS, D, odd_docs, sha
 
 # op1
 def test_warc_round_trip(spark):
@@ -217,81 +202,6 @@ def test_fingerprints_empty(spark):
     assert fingerprints.compare(spark.createDataFrame([], DOCS)).count() == 0
 
 
-# op7
-def components(rows, width, num, den):
-    sets = {}
-    for i, t in rows:
-        w = (t or "").encode().lower().split()
-        sets[i] = set(zip(*(w[k:] for k in range(width)))) if len(w) >= width else {tuple(w)} if w else set()
-    up = {i: i for i in sets}
-
-    def root(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for a in sets:
-        for b in sets:
-            both = len(sets[a] & sets[b])
-            if a < b and both and den * both >= num * len(sets[a] | sets[b]):
-                x, y = sorted((root(a), root(b)))
-                up[y] = x
-    return {i: (len(sets[i]), root(i)) for i in sets}
-
-
-@pytest.mark.parametrize(("width", "num", "den"), [(3, 90, 100), (5, 80, 100)])
-def test_jaccard_components(spark, width, num, den, monkeypatch):
-    monkeypatch.setattr(jaccard, "FREQUENT_FROM", 8)  # so that combinations of frequent tokens are used
-    monkeypatch.setattr(jaccard, "TILE", 20)
-    rng = random.Random(6)
-    base = [[rng.choice(WORDS) + str(rng.randint(0, 400)) for _ in range(n)] for n in (30, 150, 300)]
-    rows = []
-    for b in base:
-        for _ in range(60):
-            w = list(b)
-            for _ in range(rng.randint(0, max(1, len(w) // 25))):
-                w[rng.randrange(len(w))] = f"new{rng.randint(0, 999)}"
-            rows.append(" ".join(w[rng.randint(0, 3) :]))
-    rows += ["Two Words", "two  words", "", None, "solo", "solo", "A b c", "a B\tc"]
-    data = list(enumerate(rows))
-    df = spark.createDataFrame([(i, t, "c") for i, t in data], "doc_id long, text string, class_id string").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_components(df, width, num, den).collect()}
-    assert got == components(data, width, num, den)
-
-
-def test_keys_with_copies_in_several_tasks_keep_their_own_members(spark):
-    keys = {1: [-9, 4, 70], 2: [-9, 5, 70], 3: [-9, 6, 7, 70], 4: [-9, 8, 11, 70]}
-    rows = [(k, c, 20) for k, classes in keys.items() for c in classes] * 2
-    got = jaccard.tiles(spark.createDataFrame(rows, "key long, cls long, n int").repartition(3), 90, 100).select("key", "cls").collect()
-    assert sorted(got) == sorted((k, c) for k, classes in keys.items() for c in classes)
-
-
-def test_jaccard_odd_rows(spark):
-    docs = odd_docs(spark)
-    got = sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard.join_components(docs).collect())
-    assert got == [(0, 0), (1, 1), (2, 2), (4, 4), (5, 4), (6, 6), (7, 7), (7, 7), (8, 8)]
-    assert sorted(r.doc_id or 0 for r in jaccard.one_of_each(docs).collect()) == [0, 1, 2, 4, 6, 7, 8]
-    assert jaccard.join_components(spark.createDataFrame([], DOCS)).count() == 0
-
-
-def test_index_keys_of_similar_sets_meet():
-    rng = np.random.default_rng(7)
-    table = np.zeros(1 << jaccard.TABLE_BITS, bool)
-    for n in [2, 5, 20, 120, 127, 128, 140, 400, 2000]:
-        for frequent in (0.0, 0.5, 0.97, 1.0):
-            for num in (80, 90):
-                s = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-                table[:] = False
-                table[(s[rng.random(len(s)) < frequent] >> np.uint64(64 - jaccard.TABLE_BITS)).astype(np.int64)] = True
-                t = s
-                while True:
-                    drop = np.delete(t, rng.integers(len(t)))
-                    if 100 * len(drop) < num * len(s):
-                        break
-                    t = drop
-                assert len(np.intersect1d(jaccard.index_keys(s, table, num, 100), jaccard.index_keys(t, table, num, 100)))
-
-
 # op8
 def test_mixing_matches_sql(spark):
     con = duckdb.connect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -17,8 +18,12 @@ MAX_SHIPPED_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/tidelines-shared"
+    """The folder that driver and executors share (spark.checkpoint.dir). Only where all run on one machine may it be unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"{tempfile.gettempdir()}/tidelines-shared"
     return f"{base.rstrip('/')}/tidelines"
 
 
@@ -33,6 +38,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*written: DataFrame) -> None:
+    """Remove the tables that materialize() wrote for these; nothing may read them any more."""
+    for df in written:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if path.rsplit("/", 2)[-2] == "tidelines":
+                jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+                place = jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(conf).delete(place, True)
+
+
 def read_vocabulary(path: str) -> bytes:
     """A tokenizer's file, read once on the driver; its size is checked because every executor gets a copy."""
     with open(path, "rb") as f:

@@ -1,16 +1,18 @@
 """Exact Jaccard join on word shingles by token-combination prefixes.
 
-Documents with equal shingle sets form a class. Tokens (shingles) are ordered rare before frequent, then by hash. Two sets that
-are similar enough share a rare token, or two frequent tokens of one group, within prefixes extended accordingly; so each class
-indexes single rare tokens and 2-combinations of frequent ones. Classes that meet under a key are candidates if their sizes and
-parity sketches allow the similarity (both are bounds, so no link is lost), and an exact count on the whole texts decides.
+Documents with equal shingle sets form a class. Tokens (shingles) are ordered rare before frequent, then by hash; a sketch of
+token counts over the whole table tells the two apart. Two sets that are similar enough share a rare token, or two frequent
+tokens of one group, within prefixes extended accordingly; so each class indexes single rare tokens and 2-combinations of
+frequent ones. Classes that meet under a key are candidates if their sizes and parity sketches allow the similarity (both are
+bounds, so no link is lost), and an exact count on the whole texts decides.
 
-Links of large groups aren't all looked at: a first round verifies the closest earlier partner of each member of a key, the
-connected parts are merged, and a second round verifies every remaining candidate between different parts. The parts are then
-exactly the components of all links.
+For components the links of large groups aren't all looked at. A first round meets the members of a key in tiles of bounded
+size, and samples of the tiles in one more, and verifies the closest earlier partner of each class. The connected parts are
+then known, and a second round verifies every remaining candidate between different parts, in tiles that pair the members
+outside a key's largest part with all others. The parts are then exactly the components of all links. join_links() verifies
+every candidate instead, and returns all links between different sets.
 
-Keys with many members are split into tiles of bounded size. Sets are never gathered by group. Shingles and classes are 64-bit
-hashes.
+Sets are never gathered by group. Shingles and classes are 64-bit hashes.
 
 Defined results: words are runs without ASCII white space, A-Z lower-cased; a text with fewer words than a shingle has its whole
 sequence as one shingle; null, empty and blank texts have an empty set and link with nothing; rows that repeat an id share its
@@ -20,19 +22,19 @@ an empty table gives an empty result. Extra input columns are ignored, whatever
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, materialize, memo, worker_state
+from ._common import bound_batches, materialize, memo, release, worker_state
 
-#: A token is frequent if about this many documents hold it. At most FREQUENT of them are told to the executors, as one bit of
-#: TABLE_BITS each; the classification steers the work and never changes the result.
-FREQUENT_FROM, FREQUENT, TABLE_BITS = 64, 200_000, 22
-#: Groups of frequent tokens; sets from SMALL tokens up combine tokens of a group, smaller ones index them singly.
-GROUPS, SMALL = 64, 128
+#: Tokens are counted in 2 ** CELL_BITS cells; a token is frequent if its cell stands out from the median one by FREQUENT_FROM, or
+#: by more than chance does. The classification steers the work and never changes the result.
+CELL_BITS, BLOCKS, FREQUENT_FROM = 21, 64, 64
 #: Members of a key that meet in one task; more are split into tiles.
-TILE = 2000
+TILE = 512
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -73,8 +75,8 @@ def class_of(s: np.ndarray) -> int | None:
 
 
 def sketch_bits(n: int) -> int:
-    """Places of a sketch: a power of two, at least as many as tokens, so that it tells large sets apart as well as small ones."""
-    return max(512, 1 << (n - 1).bit_length())
+    """Places of a sketch: a power of two, at least half as many as tokens, so that it tells large sets apart as well as small ones."""
+    return max(64, 1 << ((n - 1) // 2).bit_length())
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -89,49 +91,75 @@ def slack(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den)
 
 
-def index_keys(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The keys that a set is indexed under. Any two sets of at least the similarity share one (but for equal sets of one token)."""
+def group_count(c: int, num: int, den: int) -> int:
+    """Groups of frequent tokens for sets of 2 ** c to 2 ** (c + 1) - 1 tokens: about as many as the longest prefix has tokens.
+
+    0 where such a set could run out of tokens before its prefix is long enough: there all tokens are indexed singly.
+    """
+    most = -(-(1 << c) * num // den) - 1
+    wanted = 1 << slack((2 << c) - 1, num, den).bit_length()
+    while wanted > most and wanted:
+        wanted >>= 1
+    return wanted
+
+
+def index_keys(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Single rare tokens, and combinations of frequent ones, that a set is indexed under.
+
+    Any two sets of at least the similarity share a key (but for equal sets of one token). Let the last token of one prefix come
+    no later than that of the other: what the sets share of the former is then in both. If that were no rare token and at most
+    one frequent token by group, the set would lack more tokens than its slack allows. Groups depend on the set's size, to a
+    power of two; where a similar set may be of a smaller power, combinations of both are indexed.
+    """
     n = len(s)
     need = slack(n, num, den) + 1
-    is_freq = frequent[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
-    rare, often = s[~is_freq], s[is_freq]
-    keys = [rare[:need]]
-    need -= len(keys[0])
+    is_freq = frequent[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+    rare, often = s[~is_freq][:need], s[is_freq]
+    need -= len(rare)
+    rare &= np.uint64(0xFFFFFFFFFFFFFFFE)
     if need <= 0 or not len(often):
-        return keys[0]
-    if n < SMALL or n * num <= SMALL * den:  # sets that a small one may be similar to are indexed both ways
-        keys.append(often[:need])
-    if n >= SMALL:
+        return rare, often[:0]
+    made: list[np.ndarray] = []
+    for c in range((-(-n * num // den)).bit_length() - 1, n.bit_length()):
+        groups = group_count(c, num, den)
+        if not groups:
+            made.append(often[:need])
+            continue
         seen: dict[int, list[int]] = {}
-        pairs = []
-        for token, group in zip(often.tolist(), ((often >> np.uint64(20)) % np.uint64(GROUPS)).tolist(), strict=True):
+        pairs, left = [], need
+        for token, group in zip(often[: need + groups].tolist(), ((often[: need + groups] >> np.uint64(20)) & np.uint64(groups - 1)).tolist(), strict=True):
             before = seen.setdefault(group, [])
-            pairs += [(((a * _MIX) ^ token) * _MIX) & 0xFFFFFFFFFFFFFFFF for a in before]
-            need -= bool(before)
+            pairs += [((((a * _MIX) ^ token) + c) * _MIX) & 0xFFFFFFFFFFFFFFFF for a in before]
+            left -= bool(before)
             before.append(token)
-            if need <= 0:
+            if left <= 0:
                 break
-        keys.append(np.array(pairs, np.uint64))
-    return np.concatenate(keys)
+        made.append(np.array(pairs, np.uint64))
+    # the lowest bit tells combinations from rare tokens
+    return rare, np.concatenate(made) | np.uint64(1)
 
 
 def _signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
+PROFILE_SCHEMA = "id long, n long, cls long, sketch binary, block int, counts binary"
+
+
 def profile(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """One pass: a row by document (id, n, cls, sketch), and rows of tokens that are common within a task (token, n)."""
+    """One pass: a row by document (id, n, cls, sketch), and from each task its token counts by cell in BLOCKS rows (block, counts)."""
 
     def run(batches):
+        import zlib
+
         import pyarrow as pa
 
+        names = [x.split()[0] for x in PROFILE_SCHEMA.split(", ")]
         words, held, size, seen = word_hashes(), [], 0, set()
+        cells = np.zeros(1 << CELL_BITS, np.uint32)
 
-        def common():
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= 4
-            k = int(often.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(counts[often].astype(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(_signed(tokens[often]))], names=["id", "n", "cls", "sketch", "token"])
+        def add():
+            cells[:] += np.bincount((np.concatenate(held) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells)).astype(np.uint32)
 
         for batch in batches:
             ids, ns, classes, sketches = batch.column(0), [], [], []
@@ -145,26 +173,48 @@ def profile(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFram
                     seen.add(c)
                     held.append(s)
                     size += len(s)
-                if size >= 3_000_000:
-                    yield common()
+                if size >= 1_000_000:
+                    add()
                     held, size = [], 0
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 500_000:
                         seen.clear()
-            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(len(ns), pa.int64())], names=["id", "n", "cls", "sketch", "token"])
+            k = len(ns)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         if held:
-            yield common()
+            add()
+        if cells.any():
+            blocks = [zlib.compress(x.tobytes(), 1) for x in np.split(cells, BLOCKS)]
+            none = [pa.nulls(BLOCKS, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], names=names)
 
     source = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
-    return materialize(source.mapInArrow(run, "id long, n long, cls long, sketch binary, token long"), "shingle-sets")
+    return materialize(source.mapInArrow(run, PROFILE_SCHEMA), "shingle-sets")
 
 
 def frequent_table(profiled: DataFrame) -> np.ndarray:
-    """A table of bounded size: True where a frequent token falls."""
-    tokens = profiled.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
-    top = tokens.orderBy(F.col("n").desc(), "token").limit(FREQUENT).select("token").collect()
-    table = np.zeros(1 << TABLE_BITS, bool)
-    table[(np.array([r["token"] for r in top], np.int64).view(np.uint64) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-    return table
+    """True for each cell that holds a frequent token. Tasks add up the blocks of cells; the driver gets the sums, of fixed size."""
+
+    def add(batches):
+        import zlib
+
+        import pyarrow as pa
+
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                now = np.frombuffer(zlib.decompress(counts.as_py()), np.uint32)
+                sums[block] = sums[block] + now if block in sums else now.astype(np.uint64)
+        if sums:
+            kept = [zlib.compress(np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1) for x in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(kept, pa.binary())], names=["block", "counts"])
+
+    import zlib
+
+    cells = np.zeros((BLOCKS, (1 << CELL_BITS) // BLOCKS), np.uint32)
+    for r in profiled.where("block is not null").select("block", "counts").repartition("block").mapInArrow(add, "block int, counts binary").collect():
+        cells[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
+    usual = float(np.median(cells))
+    return cells.reshape(-1) >= usual + max(FREQUENT_FROM, 8 * usual**0.5)
 
 
 def index_rows(docs: DataFrame, frequent: np.ndarray, width: int, num: int, den: int, text_col: str) -> DataFrame:
@@ -183,10 +233,10 @@ def index_rows(docs: DataFrame, frequent: np.ndarray, width: int, num: int, den:
                 s = shingles(text.as_py(), width, words)
                 if len(s) < 2 or (c := class_of(s)) in seen:  # a set of one token is similar to equal sets only
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > 500_000:
                     seen.clear()
                 seen.add(c)
-                k = index_keys(s, table, num, den)
+                k = np.concatenate(index_keys(s, table, num, den))
                 keys.append(k)
                 classes.append(np.full(len(k), c, np.int64))
                 sizes.append(np.full(len(k), len(s), np.int32))
@@ -196,38 +246,72 @@ def index_rows(docs: DataFrame, frequent: np.ndarray, width: int, num: int, den:
     return docs.select(docs[text_col].alias("text")).mapInArrow(run, "key long, cls long, n int")
 
 
-def tiles(index: DataFrame, num: int, den: int) -> DataFrame:
-    """key, ti, tj, salt, cls, n: the members of every key with several classes, split into tiles, if a tile holds another of fitting size.
+def key_members(index: DataFrame) -> DataFrame:
+    """key, g, salt, cls, n: the members of every key with several classes, dealt to g salts of about TILE members.
 
     Of keys with the same members one stays: count, least, greatest and exclusive-or of their hashes tell them apart without
-    gathering them. A class comes once from each task that holds a copy, and would cancel out, so it counts once for a key.
+    gathering them. A class comes once from each task that holds a copy, and would cancel out, so it counts once for a key. Rare
+    tokens have few members by definition, so they are dealt by key, once for all uses; a combination may have any number, so
+    those rows are dealt by key and class, and where they meet the kept keys Spark splits a hot one.
+    """
+    combined = F.col("key").bitwiseAND(1) == 1
+    rare, often = index.where(~combined).repartition("key").distinct(), index.where(combined).distinct()
+    by_key = lambda d: d.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.bit_xor("cls").alias("x")).where("lo < hi")
+    kept = by_key(rare).unionByName(by_key(often)).groupBy("m", "lo", "hi", "x").agg(F.min("key").alias("key"))
+    kept = kept.select("key", F.ceil(F.col("m") / TILE).cast("int").alias("g"))
+    salt = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("g")).cast("int").alias("salt")
+    members = rare.join(kept.where(~combined), "key").unionByName(often.join(kept.where(combined), "key"))
+    return materialize(members.select("key", "g", salt, "cls", "n"), "members")
+
+
+def first_tiles(members: DataFrame, num: int, den: int) -> DataFrame:
+    """key, ti, tj, side, cls, n: the salts of each key, and a sample of a key's salts in a tile of its own (ti = -1).
+
+    Left out of a tile is who finds no other of fitting size there: the neighbour in size is the likeliest to fit.
     """
-    # dealt by key once, for both uses
-    index = index.repartition("key").distinct()
-    by_key = index.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.bit_xor("cls").alias("x"))
-    kept = by_key.where("lo < hi").groupBy("m", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / TILE).cast("int").alias("g"))
-    members = index.join(kept, "key")
-    salt = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("g")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
-    split = members.withColumn("salt", salt).withColumn("o", other).select("key", F.least("salt", "o").alias("ti"), F.greatest("salt", "o").alias("tj"), "salt", "cls", "n")
-    # the neighbour in size is the likeliest to fit; a tile's size bounds the window, and the rows already lie by key
+    sample = (F.col("g") > 1) & (F.pmod(F.xxhash64("cls", F.lit(2)), F.col("g")) == 0)
+    at = F.explode(F.when(sample, F.array("salt", F.lit(-1))).otherwise(F.array("salt")))
+    rows = members.select("key", at.alias("ti"), F.lit(-1).alias("tj"), F.lit(3).alias("side"), "cls", "n")
     tile, n = Window.partitionBy("key", "ti", "tj").orderBy("n", "cls"), F.col("n").cast("bigint")
-    sized = split.withColumns({"less": F.lag(n).over(tile), "more": F.lead(n).over(tile)})
-    fits = (F.col("less") * den >= n * num) | (n * den >= F.col("more") * num)
-    return materialize(sized.where(fits).drop("less", "more"), "tiles")
+    sized = rows.withColumns({"less": F.lag(n).over(tile), "more": F.lead(n).over(tile)})
+    return sized.where((F.col("less") * den >= n * num) | (n * den >= F.col("more") * num)).drop("less", "more")
 
 
-def tile_pairs(cls, n, salt, sketches: list[bytes], part, ti: int, tj: int, num: int, den: int, closest: bool):
-    """Candidate pairs of a tile: all, or each member's closest earlier one if there are many; and whether it was cut so."""
+def cross_tiles(members: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """key, ti, tj, side, cls, n, part: the members of each key with several parts, so that all pairs of different parts meet.
+
+    Members outside a key's largest part (side 1) are dealt to groups ti and meet all members (side 2) of each salt tj. A key of
+    one salt is one tile. Without parts every class is a part of its own.
+    """
+    rows = members.withColumn("part", F.col("cls")) if parts is None else members.join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+    rows = materialize(rows, "key-parts")
+    sizes = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"))
+    sizes = sizes.groupBy("key").agg(F.max_by("part", F.struct("c", "part")).alias("big"), F.sum("c").alias("m"), F.max("c").alias("most"))
+    open_ = sizes.where("m > most").select("key", "big", F.ceil((F.col("m") - F.col("most")) / TILE).cast("int").alias("h"))
+    rows = rows.join(open_, "key").select("key", "g", "h", "salt", "cls", "n", "part", (F.col("part") != F.col("big")).alias("small"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    place = lambda ti, tj, side: F.struct(ti.cast("int").alias("ti"), tj.cast("int").alias("tj"), F.lit(side).alias("side"))
+    group = F.pmod(F.xxhash64("cls", F.lit(3)), F.col("h"))
+    first = F.transform(upto("g"), lambda j: place(group, j, 1))
+    second = F.transform(upto("h"), lambda i: place(i, F.col("salt"), 2))
+    places = F.when(F.col("g") == 1, F.array(place(F.lit(0), F.lit(0), 3))).when(F.col("small"), F.concat(first, second)).otherwise(second)
+    return rows.withColumn("p", F.explode(places)).select("key", "p.ti", "p.tj", "p.side", "cls", "n", "part")
+
+
+def tile_pairs(cls, n, side, sketches: list[bytes], part, num: int, den: int, closest: bool):
+    """Candidate pairs of a tile as (later, earlier, share of differing tokens), in order of size; and whether it was cut.
+
+    All, or with `closest` each member's closest earlier one if there are many. Pairs need a member of either side (1, 2; 3 is both).
+    """
     order = np.lexsort((cls, n))
-    cls, n, salt, part = cls[order], n[order], salt[order], part[order]
+    cls, n, side, part = cls[order], n[order], side[order], part[order]
     lo = np.searchsorted(n * den, n * num)  # the first member that is not too small
     # members of one sketch size are neighbours; a member also meets those of half its size, with its halves folded
     size = np.array([len(sketches[i]) for i in order])
     starts = np.flatnonzero(np.r_[True, size[1:] != size[:-1]])
     block = [np.frombuffer(b"".join(sketches[i] for i in order[a:b]), np.uint64).reshape(b - a, -1) for a, b in zip(starts, [*starts[1:], len(n)], strict=True)]
     own = np.searchsorted(starts, np.arange(len(n)), side="right") - 1
-    out_a, out_b, best_a, best_b, many = [], [], [], [], 0
+    every, best, many = [], [], 0
     for i in range(1, len(n)):
         if lo[i] >= i:
             continue
@@ -243,43 +327,30 @@ def tile_pairs(cls, n, salt, sketches: list[bytes], part, ti: int, tj: int, num:
             less = np.bitwise_count(low ^ half).sum(1, dtype=np.int64) if low.shape[1] == len(half) else np.zeros(b - a, np.int64)
             differ, mine = np.concatenate([less, differ]), half
         js = np.arange(lo[i], i)
-        fine = ((den + num) * differ <= (den - num) * (n[js] + n[i])) & (part[js] != part[i])
-        if ti != tj:
-            fine &= salt[js] != salt[i]
-        js, differ = js[fine], differ[fine]
+        fine = ((den + num) * differ <= (den - num) * (n[js] + n[i])) & (part[js] != part[i]) & ((side[js] | side[i]) == 3)
+        js, share = js[fine], differ[fine] / (n[js[fine]] + n[i])
         if len(js):
-            best_a.append(cls[i])
-            best_b.append(cls[js[int(np.argmin(differ / (n[js] + n[i])))]])
+            nearest = int(np.argmin(share))
+            best.append((cls[i : i + 1], cls[js[nearest : nearest + 1]], share[nearest : nearest + 1]))
             many += len(js)
             if not closest or many <= 4 * len(n) + 16:
-                out_a.append(np.full(len(js), cls[i]))
-                out_b.append(cls[js])
-    if closest and many > 4 * len(n) + 16:
-        return np.array(best_a, np.int64), np.array(best_b, np.int64), True
-    if not out_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), False
-    return np.concatenate(out_a), np.concatenate(out_b), False
+                every.append((np.full(len(js), cls[i]), cls[js], share))
+    cut = closest and many > 4 * len(n) + 16
+    found = best if cut else every
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), cut
+    return *(np.concatenate(x) for x in zip(*found, strict=True)), cut
 
 
-CANDIDATE_SCHEMA = "a long, b long, key long, ti int, tj int"
+CANDIDATE_SCHEMA = "later long, earlier long, share double, key long"
 
 
-def candidates(tiled: DataFrame, sketches: DataFrame, num: int, den: int, parts: DataFrame | None = None, cut: DataFrame | None = None) -> DataFrame:
-    """Candidate pairs (a < b) of classes, and rows without a pair for tiles (key, ti, tj) that were cut to the closest ones.
-
-    With parts (cls, part): only in the tiles that were cut, only between different parts, and then all.
-    """
-    if parts is None:
-        rows = tiled.withColumn("part", F.col("cls"))
-    else:
-        rows = tiled.join(cut, ["key", "ti", "tj"]).join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
-        # tiles whose members are all connected by now have nothing left to verify
-        open_ = rows.groupBy("key", "ti", "tj").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key", "ti", "tj")
-        rows = rows.join(open_, ["key", "ti", "tj"])
+def candidates(tiles: DataFrame, sketches: DataFrame, num: int, den: int, closest: bool) -> DataFrame:
+    """Candidate pairs of classes of different parts, and a row with a key alone for each tile cut to the closest pairs."""
+    rows = tiles if "part" in tiles.columns else tiles.withColumn("part", F.col("cls"))
     # sketches come last, as they are the wide part
-    rows = rows.select("key", "ti", "tj", "cls", "n", "salt", "part").join(sketches, "cls").select("key", "ti", "tj", "cls", "n", "salt", "sketch", "part")
+    rows = rows.select("key", "ti", "tj", "cls", "n", "side", "part").join(sketches, "cls").select("key", "ti", "tj", "cls", "n", "side", "sketch", "part")
     dealt = rows.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
-    closest = parts is None
 
     def run(batches):
         import pyarrow as pa
@@ -287,16 +358,16 @@ def candidates(tiled: DataFrame, sketches: DataFrame, num: int, den: int, parts:
         def pairs(held):
             t = pa.Table.from_batches(held)
             get = lambda c: t.column(c).to_numpy().astype(np.int64)
-            return tile_pairs(get("cls"), get("n"), get("salt"), t.column("sketch").to_pylist(), get("part"), t.column("ti")[0].as_py(), t.column("tj")[0].as_py(), num, den, closest)
+            return tile_pairs(get("cls"), get("n"), get("side"), t.column("sketch").to_pylist(), get("part"), num, den, closest)
 
         def pack(found):
-            a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-            lo_hi = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            marks = [f[3] for f in found if f[2]]
-            n, m = len(lo_hi), len(marks)
-            cols = [pa.array([*lo_hi[:, i].tolist(), *[None] * m], pa.int64()) for i in (0, 1)]
-            cols += [pa.array([*[None] * n, *[x[i] for x in marks]], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
-            return pa.RecordBatch.from_arrays(cols, names=["a", "b", "key", "ti", "tj"])
+            later, earlier, share = (np.concatenate([f[i] for f in found]) for i in (0, 1, 2))
+            first = np.unique(np.stack([later, earlier], 1), axis=0, return_index=True)[1]
+            marks = [f[4] for f in found if f[3]]
+            n, m = len(first), len(marks)
+            full = lambda x, t: pa.concat_arrays([pa.array(x[first], t), pa.nulls(m, t)])
+            cols = [full(later, pa.int64()), full(earlier, pa.int64()), full(share, pa.float64()), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(marks, pa.int64())])]
+            return pa.RecordBatch.from_arrays(cols, names=["later", "earlier", "share", "key"])
 
         now, held, found, size = None, [], [], 0
         for batch in batches:
@@ -307,7 +378,7 @@ def candidates(tiled: DataFrame, sketches: DataFrame, num: int, den: int, parts:
                     continue
                 mark = (int(k[a]), int(i[a]), int(j[a]))
                 if held and mark != now:
-                    found.append((*pairs(held), now))
+                    found.append((*pairs(held), now[0]))
                     size += len(found[-1][0])
                     held = []
                     if size > 100_000:
@@ -316,7 +387,7 @@ def candidates(tiled: DataFrame, sketches: DataFrame, num: int, den: int, parts:
                 now = mark
                 held.append(batch.slice(a, b - a))
         if held:
-            found.append((*pairs(held), now))
+            found.append((*pairs(held), now[0]))
         if found:
             yield pack(found)
 
@@ -324,15 +395,13 @@ def candidates(tiled: DataFrame, sketches: DataFrame, num: int, den: int, parts:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs of classes whose whole texts are similar enough. reps: cls, id of a document of each class."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(reps, "cls")
-    needed = materialize(needed, "needed")
+    """a, b, shared, united of the pairs (a, b) of classes whose whole texts are similar enough. reps: cls, id of a document of each class."""
+    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(reps, "cls"), "needed")
     keep = _maybe(needed)
     source = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
-    texts = source.where(keep(F.col("id"))).join(needed, "id")
-    texts = materialize(texts.select("cls", "text"), "texts")
+    texts = materialize(source.where(keep(F.col("id"))).join(needed, "id").select("cls", "text"), "texts")
     left, right = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
     def run(batches):
         import pyarrow as pa
@@ -340,20 +409,23 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, num
         words = word_hashes()
         for batch in batches:
             sets: dict[int, np.ndarray] = {}
-            ok = []
+            kept = []
             for a, b, ta, tb in zip(*batch.columns, strict=True):
                 x, y = (sets[c] if c in sets else sets.setdefault(c, shingles(t.as_py(), width, words)) for c, t in ((a.as_py(), ta), (b.as_py(), tb)))
                 if class_of(x) != a.as_py() or class_of(y) != b.as_py():  # another text under a repeated id
-                    sets.pop(a.as_py()), sets.pop(b.as_py(), None)
-                    ok.append(False)
+                    sets.pop(a.as_py(), None), sets.pop(b.as_py(), None)
                     continue
                 shared = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(den * shared >= num * (len(x) + len(y) - shared))
+                if den * shared >= num * (len(x) + len(y) - shared):
+                    kept.append((a.as_py(), b.as_py(), shared, len(x) + len(y) - shared))
                 if len(sets) > 500:
                     sets.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*kept, strict=True)], names=["a", "b", "shared", "united"])
 
-    return materialize(both.mapInArrow(run, "a long, b long").distinct(), "links")
+    links = materialize(both.mapInArrow(run, "a long, b long, shared long, united long").distinct(), "links")
+    release(needed, texts)
+    return links
 
 
 def _maybe(needed: DataFrame, bits: int = 23):
@@ -379,10 +451,39 @@ def _maybe(needed: DataFrame, bits: int = 23):
     return lambda i: udf(F.pmod(F.xxhash64(i), F.lit(1 << bits)).cast("int")) & i.isNotNull()
 
 
+def contract(batches):
+    """Stars (u, v) in place of the edges (u, v) that a task sees, up to half a million nodes at a time: v is the least node."""
+    import pyarrow as pa
+
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(p, p)
+        return x
+
+    def stars():
+        found = [(x, r) for x in list(parent) if (r := root(x)) != x]
+        parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(u), root(v)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        if len(parent) > 500_000:
+            yield stars()
+    yield stars()
+
+
 def connected(edges: DataFrame) -> DataFrame:
-    """cls, part of every node of edges (a, b): the least node connected to it. Large-star and small-star steps in turn."""
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    before = None
+    """cls, part of every node of edges (a, b): the least node connected to it.
+
+    Large-star and small-star steps in turn; before each, tasks contract the edges that they hold, which saves rounds.
+    """
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).mapInArrow(contract, "u long, v long")
+    before, written = None, None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -390,45 +491,108 @@ def connected(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         met = large.join(least, "u")
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialize(small, "stars")
+        edges = materialize(small.mapInArrow(contract, "u long, v long"), "stars")
+        if written is not None:
+            release(written)
+        written = edges
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("cls"), F.col("v").alias("part"))
         before = state
 
 
+@dataclass
+class Indexed:
+    """What both joins start from: rows by document, representatives and sketches by class, and the keys' members."""
+
+    documents: DataFrame  # id, n, cls
+    classes: DataFrame  # cls, id, sketch
+    members: DataFrame
+    twice: DataFrame  # a, b: classes of rows that repeat an id with another text, which are one document
+
+
+def indexed(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> Indexed:
+    bound_batches(docs.sparkSession)
+    profiled = profile(docs, width, id_col, text_col)
+    rows = profiled.where("block is null").select("id", "n", "cls", "sketch")
+    some = rows.where("cls is not null and id is not null")
+    classes = materialize(some.groupBy("cls").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "classes")
+    prefixes = materialize(index_rows(docs.where(docs[id_col].isNotNull()), frequent_table(profiled), width, num, den, text_col), "prefixes")
+    members = key_members(prefixes)
+    release(prefixes)
+    documents = materialize(rows.select("id", "n", "cls"), "documents")
+    release(profiled)
+    some = documents.where("cls is not null and id is not null")
+    same_id = some.groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b")
+    twice = some.join(same_id.select("id", "a"), "id").select("a", F.col("cls").alias("b")).where("a <> b")
+    return Indexed(documents, classes, members, twice)
+
+
+def _named(x: Indexed, parts: DataFrame, id_col: str, more: DataFrame | None = None) -> DataFrame:
+    """The rows of all documents with class_id and component_id, and columns of more (by cls), as a written table."""
+    by_class = x.classes.select("cls", F.col("id").alias("class_id")).join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+    least = by_class.groupBy("part").agg(F.min("class_id").alias("component_id"))
+    named = by_class.join(least, "part").drop("part")
+    if more is not None:
+        named = named.join(more, "cls", "left")
+    own = x.documents.join(named, "cls", "left")
+    some = F.col("id").isNotNull()
+    extra = [F.col(c) for c in named.columns if c not in ("cls", "class_id", "component_id")]
+    return materialize(own.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(some, F.coalesce("class_id", "id")).alias("class_id"), F.when(some, F.coalesce("component_id", "id")).alias("component_id"), *extra), "components")
+
+
 def join_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id, component_id of every row of docs.
 
     Two documents link when den * (size of the intersection) >= num * (size of the union) of their shingle sets. class_id is the
     least id with the same set, component_id the least id reachable by links; a document without shingles has its own id.
     """
-    bound_batches(docs.sparkSession)
-    profiled = profile(docs, width, id_col, text_col)
-    members = profiled.where("token is null").select("id", "n", "cls", "sketch")
-    classes = members.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"))
-    classes = materialize(classes, "classes")
-    reps = classes.select("cls", "id")
-    valid = docs.where(docs[id_col].isNotNull())
-    sketches = classes.select("cls", "sketch")
-    tiled = tiles(materialize(index_rows(valid, frequent_table(profiled), width, num, den, text_col), "prefixes"), num, den)
-    check = lambda found: verified(found.where("a is not null").select("a", "b").distinct(), docs, reps, width, num, den, id_col, text_col)
-    first = materialize(candidates(tiled, sketches, num, den), "pairs")
-    links = check(first)
-    # rows that repeat an id with another text are one document
-    same_id = members.where("cls is not null and id is not null").groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b")
-    twice = members.where("id is not null").join(same_id.select("id", "a"), "id").select("a", F.col("cls").alias("b")).where("a <> b")
-    parts = connected(links.unionByName(twice))
-    cut = first.where("key is not null").select("key", "ti", "tj").distinct()
-    if not cut.isEmpty():
-        more = check(materialize(candidates(tiled, sketches, num, den, parts, cut), "pairs"))
-        parts = connected(parts.select(F.col("cls").alias("a"), F.col("part").alias("b")).unionByName(more))
-    by_class = reps.join(parts, "cls", "left").select("cls", F.col("id").alias("class_id"), F.coalesce("part", "cls").alias("part"))
-    least = by_class.groupBy("part").agg(F.min("class_id").alias("component_id"))
-    named = by_class.join(least, "part").select("cls", "class_id", "component_id")
-    own = members.select("id", "n", "cls").join(named, "cls", "left")
-    some = F.col("id").isNotNull()
-    return own.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(some, F.coalesce("class_id", "id")).alias("class_id"), F.when(some, F.coalesce("component_id", "id")).alias("component_id"))
+    x = indexed(docs, width, num, den, id_col, text_col)
+    reps, sketches = x.classes.select("cls", "id"), x.classes.select("cls", "sketch")
+    check = lambda pairs: verified(pairs, docs, reps, width, num, den, id_col, text_col)
+    first = materialize(candidates(first_tiles(x.members, num, den), sketches, num, den, closest=True), "pairs")
+    pairs = first.where("later is not null")
+    closest = materialize(pairs.groupBy("later").agg(F.min_by("earlier", F.struct("share", "earlier")).alias("earlier")), "closest")
+    links = check(closest.select(F.col("later").alias("a"), F.col("earlier").alias("b")))
+    parts = connected(links.select("a", "b").unionByName(x.twice))
+    # what may still connect: other candidates, and members of large or cut keys that haven't met, of different parts
+    at = lambda c: parts.select(F.col("cls").alias(c), F.col("part").alias(f"{c}_part"))
+    apart = pairs.select("later", "earlier").distinct().join(closest, ["later", "earlier"], "left_anti").join(at("later"), "later", "left").join(at("earlier"), "earlier", "left")
+    apart = apart.where(F.coalesce("later_part", "later") != F.coalesce("earlier_part", "earlier")).select("later", "earlier")
+    keys = first.where("key is not null").select("key").unionByName(x.members.where("g > 1").select("key")).distinct()
+    tiles = cross_tiles(x.members.join(keys, "key", "left_semi"), parts)
+    more = materialize(candidates(tiles, sketches, num, den, closest=False).select("later", "earlier").unionByName(apart).distinct(), "pairs")
+    if not more.isEmpty():
+        again, before = check(more.select(F.col("later").alias("a"), F.col("earlier").alias("b"))), parts
+        parts = connected(before.select(F.col("cls").alias("a"), F.col("part").alias("b")).unionByName(again.select("a", "b")))
+        release(again, before)
+    out = _named(x, parts, id_col)
+    release(first, closest, links, more, parts, x.documents, x.classes, x.members)
+    return out
+
+
+def join_links(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links between different sets, and the membership of the documents.
+
+    The links: class_a < class_b (least ids with each set), shared, united (sizes). The membership: doc_id, n_shingles, class_id,
+    component_id, and n_links, the number of other documents that a document links with, copies included. Every candidate pair
+    is verified, so the work grows with the number of links between different sets.
+    """
+    x = indexed(docs, width, num, den, id_col, text_col)
+    reps, sketches = x.classes.select("cls", "id"), x.classes.select("cls", "sketch")
+    pairs = materialize(candidates(cross_tiles(x.members), sketches, num, den, closest=False).select(F.col("later").alias("a"), F.col("earlier").alias("b")).distinct(), "pairs")
+    links = verified(pairs, docs, reps, width, num, den, id_col, text_col)
+    size = x.documents.where("cls is not null and id is not null").groupBy("cls").agg(F.count_distinct("id").alias("size"))
+    ends = links.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("cls"), F.col("a").alias("other")))
+    met = ends.join(size.select(F.col("cls").alias("other"), "size"), "other").groupBy("cls").agg(F.sum("size").alias("to_others"))
+    n_links = size.join(met, "cls", "left").select("cls", (F.coalesce("to_others", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    named = reps.select("cls", "id")
+    out = links.join(named.select(F.col("cls").alias("a"), F.col("id").alias("ia")), "a").join(named.select(F.col("cls").alias("b"), F.col("id").alias("ib")), "b")
+    out = materialize(out.select(F.least("ia", "ib").alias("class_a"), F.greatest("ia", "ib").alias("class_b"), "shared", "united"), "class-links")
+    rows = _named(x, connected(links.select("a", "b").unionByName(x.twice)), id_col, n_links)
+    rows = rows.withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    release(pairs, links, x.documents, x.classes, x.members)
+    return out, rows
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
