@@ -4,8 +4,10 @@ The count of a text is its number of initial symbols less the merges that apply
 the adjacent pairs of a linked list of symbols wait in a heap by rank, the lowest rank (leftmost on ties) merges first, and
 the merged symbol's new pairs go back into the heap.
 
-Defined results: null and empty texts have 0 bytes and 0 tokens; any length of text is counted whole; repeated rows are
-counted each; an empty table gives an empty result. Output columns replace input columns of the same name.
+A text is cut where no piece joins two neighbours, in one pass, so that each part is merged by itself.
+
+Defined results: null and empty texts have 0 bytes and 0 tokens; any length of text, with or without spaces, is counted whole;
+repeated rows are counted each; an empty table gives an empty result. Output columns replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -84,10 +86,12 @@ class PieceMerger:
         return count
 
     def cached(self, chunk: str, counts: dict[str, int]) -> int:
-        """merge(), by way of the chunk without its last character where no piece joins the two."""
-        if len(chunk) > 2 and chunk[-2:] not in self.joined and chunk[-1] in self.rank:
-            return counts[chunk[:-1]] + 1
-        return self.merge(chunk) if chunk else 0
+        """merge() of the parts of a chunk between characters that no piece joins: no merge crosses such a place."""
+        joined, n = self.joined, len(chunk)
+        cuts = [i for i in range(1, n) if chunk[i - 1 : i + 1] not in joined]
+        if not cuts:
+            return self.merge(chunk) if chunk else 0
+        return sum(counts[chunk[a:b]] for a, b in zip([0, *cuts], [*cuts, n], strict=True))  # parts have no cuts
 
     def cache(self) -> dict[str, int]:
         counts = memo(lambda chunk: self.cached(chunk, counts), CACHE_WORDS, CACHED_LENGTH)
