@@ -2,7 +2,7 @@
 
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from math import exp, lgamma, log
 
 import duckdb
@@ -138,6 +138,20 @@ def test_token_counts_equal_the_library(spark):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((r.text or "").encode()), n, n > 100)
 
 
+def test_unspaced_texts_are_counted_whole():
+    import sentencepiece
+
+    model = queries._vocabulary("piece_bpe_32k.model")
+    sp, merger = sentencepiece.SentencePieceProcessor(model_proto=model), token_counts.PieceMerger(model)
+    cache, rng = merger.cache(), random.Random(11)
+    for letters in ("中国人民的一是了我", "あいうえおカキク日本", "กขคงจฉชซ", "ابتثجحخ", "абвгдежзи", "abcdefghijkl", "0123456789", ".", "🙂😀", "\x01\x02", "的"):
+        for n in (330, 10_000):
+            text = "".join(rng.choice(letters) for _ in range(n))
+            assert merger.count(text, cache) == len(sp.encode(text))
+    text = "".join(rng.choice("中国人民的一是了我的") for _ in range(1_000_000))
+    assert merger.count(text, cache) == len(sp.encode(text))
+
+
 # op5
 def test_chat_windows(spark):
     rng = random.Random(4)
@@ -211,20 +225,49 @@ def test_mixing_matches_sql(spark):
     assert got == want
 
 
-def test_high_rates_stay_exact(spark):
-    for rate in (0.0, 0.3, 40.0, 770.0, 1000.0):
+def test_inverse_is_exact_at_any_rate(spark):
+    for rate in (0.0, 0.3, 40.0, 500.0):
         steps = spark.range(1).select(mixing.poisson_steps(F.lit(rate)).alias("s")).first().s
         terms = [exp(-rate + k * log(rate) - lgamma(k + 1)) if rate else float(k == 0) for k in range(len(steps))]
-        assert steps == pytest.approx(list(np.cumsum(terms)), rel=1e-9, abs=1e-12)
+        assert steps == pytest.approx(list(np.cumsum(terms)), rel=1e-9, abs=1e-12) and len(steps) < 800
+    for rate in (700.0, 1000.0, 20000.0):  # sums of pieces: mean and variance of a Poisson count
+        n = mixing.pieces(F.lit(rate))
+        rows = spark.range(0, 400, 1, 8).select(mixing.poisson_count(F.col("id"), "s", n, mixing.poisson_steps(F.lit(rate) / n)).alias("c"))
+        got = rows.agg(F.avg("c").alias("m"), F.variance("c").alias("v")).first()
+        assert abs(got.m - rate) < 5 * (rate / 400) ** 0.5 and abs(got.v / rate - 1) < 0.35
+
+
+def test_a_rare_source_beside_a_hot_one(spark, tmp_path):
+    """A rate above one piece, in Spark and in SQL."""
+    docs = spark.range(300_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") > 0, "hot").alias("source"), F.lit(1).cast("bigint").alias("n_chars"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = mixing.mix(spark.read.parquet(str(tmp_path / "documents.parquet"))).groupBy("source").agg(F.count("*").alias("n"), F.sum("n_copies").alias("c"), F.max("copy").alias("m"), F.sum(F.round("order_key", 9)).alias("o"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(f"select source, count(*), sum(n_copies), max(copy), sum(order_key) from ({queries.OP8_SQL}) group by 1").fetchall()
+    key = lambda r: str(r[0])
+    for g, w in zip(sorted(got.collect(), key=key), sorted(want, key=key), strict=True):
+        assert tuple(g)[:4] == w[:4] and g[4] == pytest.approx(w[4])
+        assert g[0] or 400 < g[3] < 700
 
 
 def test_mixing_rates_and_odd_rows(spark):
     docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "b").alias("source"), F.lit("x").alias("copy"))
     n = {r.source: r["count"] for r in mixing.mix(docs, {"hot": 1.0, "b": 3.0}, total=20000).groupBy("source").count().collect()}
     assert set(n) == {"hot", "b"} and abs(n["hot"] - 5000) < 250 and abs(n["b"] - 15000) < 400
-    steps = spark.range(1).select(mixing.poisson_steps(F.lit(2.5)).alias("s")).first().s
-    assert steps[0] == pytest.approx(exp(-2.5)) and steps[-1] == pytest.approx(1)
-    assert mixing.mix(odd_docs(spark)).count() >= 0
+    odd = odd_docs(spark)
+    rates = {r.source: r.rate for r in mixing.source_rates(odd).collect()}
+    u = lambda i: int(hashlib.md5(f"mix:{i if i is not None else 'null'}".encode()).hexdigest()[:13], 16) / 2**52
+    want = Counter()
+    for r in odd.collect():
+        k, term, total = 0, exp(-rates[r.source]), exp(-rates[r.source])
+        while total <= u(r.doc_id):
+            k += 1
+            term *= rates[r.source] / k
+            total += term
+        want[r.doc_id, r.source] += k
+    got = Counter((r.doc_id, r.source) for r in mixing.mix(odd).collect())
+    assert got == +want and sum(got.values()) > 0
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
 
 

@@ -96,20 +96,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-#: Mixing in SQL: hash-seeded uniform numbers against the Poisson distribution function, then one row by copy.
+#: Mixing in SQL: hash-seeded uniform numbers against the Poisson distribution function of each piece of a rate (of 500 at most,
+#: so that all its terms lie below 789), then one row by copy.
 OP8_SQL = """
 WITH counts AS (SELECT source, count(*) AS n_rows FROM documents GROUP BY source),
 sums AS (SELECT sum(sqrt(n_rows)) AS all_weight, sum(n_rows) AS all_rows FROM counts),
 rates AS (SELECT source, CAST(all_rows AS DOUBLE) * sqrt(n_rows) / (all_weight * n_rows) AS rate FROM counts, sums),
-terms AS (SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p
-          FROM rates, range(0, 200) AS r(k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 20)),
-steps AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS s FROM terms),
-drawn AS (SELECT d.*, CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u FROM documents d),
-counted AS (SELECT doc_id, text, lang, d.source, n_chars, CAST(count(*) FILTER (WHERE s.s <= u) AS INTEGER) AS n_copies
-            FROM drawn d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source GROUP BY ALL)
+split AS (SELECT source, greatest(1, CAST(ceil(rate / 500) AS INTEGER)) AS pieces, rate / greatest(1, ceil(rate / 500)) AS r FROM rates),
+terms AS (SELECT source, k, exp(-r + k * ln(r) - lgamma(k + 1)) AS p FROM split, range(0, 789) AS t(k) WHERE k <= ceil(r + 12 * sqrt(r) + 20)),
+steps AS (SELECT source, list(s ORDER BY k) AS steps FROM (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS s FROM terms) GROUP BY source),
+keyed AS (SELECT row_number() OVER () AS row, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key, d.* FROM documents d),
+drawn AS (SELECT row, len(list_filter(steps, lambda s: s <= CAST(CAST('0x' || substr(md5('mix:' || key || CASE WHEN i > 1 THEN '/' || i ELSE '' END), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0)) AS n
+          FROM keyed k JOIN split s ON k.source IS NOT DISTINCT FROM s.source JOIN steps t ON k.source IS NOT DISTINCT FROM t.source, range(1, pieces + 1) AS r(i)),
+counted AS (SELECT row, CAST(sum(n) AS INTEGER) AS n_copies FROM drawn GROUP BY row)
 SELECT doc_id, text, lang, source, n_chars, CAST(c AS INTEGER) AS copy, n_copies,
-       round(CAST(CAST('0x' || substr(md5('mix/order:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '#' || c), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0, 9) AS order_key
-FROM counted, range(1, n_copies + 1) AS r(c)
+       round(CAST(CAST('0x' || substr(md5('mix/order:' || key || '#' || c), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0, 9) AS order_key
+FROM keyed JOIN counted USING (row), range(1, n_copies + 1) AS r(c)
 """
 
 ORACLE_SQL: dict[str, str] = {"op8_mixing": OP8_SQL}
