@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidelines.llm import ann, byte_bpe, chat, fingerprints, mixing, quality, queries, token_counts, toxicity, warc
+from tidelines.llm import ann, byte_bpe, chat, mixing, quality, queries, token_counts, toxicity, warc
 from tidelines.llm._common import fresh_path
 
 from .odd import DOCS, WORDS, D, odd_docs, sha
@@ -182,40 +182,6 @@ def test_chat_control_strings(spark):
     assert (got.n_turns, got.loss_sha256, got.turns_sha256) == (2, sha(said), sha(f"user\n{said}\nassistant\n{said}\n"))
 
 
-# op6
-def anchors(text):
-    """Plain syncmers over 64-bit stand-ins: only the choice of positions is compared, by counts."""
-    import re
-
-    return re.findall(r"[^ \t\n\x0b\f\r]{1,12}", text)
-
-
-def test_fingerprints(spark):
-    more = [(200 + i, " ".join(WORDS[(i * j) % len(WORDS)] + str(j) for j in range(60)), "en", "s", 1) for i in range(4)]
-    docs = odd_docs(spark, more)
-    got = fingerprints.compare(docs).collect()
-    keyed = sorted(((r.doc_id if r.doc_id is not None else -(1 << 63)), r.text or "") for r in docs.collect())
-    assert len(got) == len(keyed)
-    by_text = defaultdict(set)
-    text_of = {k: t for k, t in keyed}
-    order = sorted(set(keyed))
-    for r in got:
-        k = r.doc_id if r.doc_id is not None else -(1 << 63)
-        text = text_of[k]
-        nxt = order[(order.index((k, text)) + 1) % len(order)][1]
-        q = len(text) // 4
-        assert (r.n_chars, r.edited_sha256) == (len(text), sha(text[: len(text) - q] + nxt[:q]))
-        by_text[text].add(r.fingerprint)
-        assert (r.fingerprint == "") == (not text.split()) and 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
-        if len(anchors(text)) > 100 and k != 8:
-            assert r.near_edited > 0.5 and len(r.fingerprint) // 8 > 0.2 * len(anchors(text))
-    assert all(len(v) == 1 for v in by_text.values())
-
-
-def test_fingerprints_empty(spark):
-    assert fingerprints.compare(spark.createDataFrame([], DOCS)).count() == 0
-
-
 # op8
 def test_mixing_matches_sql(spark):
     con = duckdb.connect()
