@@ -14,39 +14,46 @@ from .odd import DOCS, WORDS, D, odd_docs, sha
 SCRIPTS = ("abcdefghij ", "中国人民的一是了我们他这", "กขคงจฉชซฌญฎ", "абвгдежзий ", "ابتثجحخدذ", "01234567", "🙂😀🎉a𝒜字", "ACGT")
 
 
-def hashes(spark, strings):
-    """Spark's hash of each string."""
-    df = spark.createDataFrame([(x,) for x in strings], "s string")
-    return {r.s: r.h for r in df.select("s", F.xxhash64("s").alias("h")).collect()}
-
-
-def plain_anchors(text, inner, joined):
-    """Closed syncmers by their definition; inner: hash by substring, joined: hash of five hashes."""
-    n = len(text)
-    h = [inner[text[i : i + fp.S]] for i in range(n - fp.S + 1)]
-    out = []
-    for i in range(n - fp.K + 1):
-        w = h[i : i + fp.WINDOW]
-        if min(w) < fp.LOW and min(w) in (w[0], w[-1]):
-            out.append((i, joined(tuple(w[d] for d in (0, 8, 16, 24, fp.WINDOW - 1)))))
-    return out
-
-
-def test_anchors_are_closed_syncmers(spark, monkeypatch):
-    monkeypatch.setattr(fp, "PIECE", 300)
+LAST = set("048dDLT \t\n\x0b\f\r")
+
+
+def units(text):
+    out = [""]
+    for c in text:
+        out[-1] += c
+        if c in LAST or ord(c) >= 0x100:
+            out.append("")
+    return out if out[-1] else out[:-1]
+
+
+def hashed(spark, lists):
+    """Spark's hash of each list of numbers."""
+    known = {}
+    for n in {len(x) for x in lists}:
+        rows = spark.createDataFrame(sorted({tuple(x) for x in lists if len(x) == n}), ", ".join(f"c{i} long" for i in range(n)))
+        known |= {tuple(r)[:n]: r.h for r in rows.select("*", F.xxhash64(*rows.columns).alias("h")).collect()}
+    return known
+
+
+def test_anchors_are_closed_syncmers(spark):
     rng = random.Random(1)
-    texts = ["".join(rng.choice(a) for _ in range(n)) for a in SCRIPTS for n in (38, 39, 40, 200, 900)] + ["x" * 500, ""]
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    got = {r.i: [tuple(a) for a in r.a] for r in df.select("i", fp.chosen(F.col("text")).alias("a")).collect()}
-    inner = hashes(spark, {t[i : i + fp.S] for t in texts for i in range(len(t) - fp.S + 1)})
-    five = []
-    for t in texts:
-        plain_anchors(t, inner, five.append)
-    rows = spark.createDataFrame(sorted(set(five)), "a long, b long, c long, d long, e long")
-    known = {tuple(r)[:5]: r.h for r in rows.select("*", F.shiftrightunsigned(F.xxhash64("a", "b", "c", "d", "e"), 32).alias("h")).collect()}
-    for i, t in enumerate(texts):
-        assert got[i] == plain_anchors(t, inner, known.__getitem__)
-    assert sum(map(len, got.values())) > 100
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a in SCRIPTS for n in (1, 5, 6, 7, 40, 300)] + ["x" * 500, "abct" * 50, "", None, "d\r\n é"]
+    df = fp.with_anchors(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text", "a")
+    got = {r.i: [tuple(a) for a in r.a] for r in df.collect()}
+    words = {w for t in texts for w in units(t or "")}
+    one = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    us = [[one[w] for w in units(t or "")] for t in texts]
+    two = hashed(spark, [u[i : i + 2] for u in us for i in range(len(u) - 1)])
+    inner = [[two[tuple(u[i : i + 2])] for i in range(len(u) - 1)] for u in us]
+    key = lambda u, s, i: (s[i], s[i + 2], s[i + 4], u[i + 5])
+    four = hashed(spark, [key(u, s, i) for u, s in zip(us, inner) for i in range(len(u) - 5)])
+    for k, (u, s) in enumerate(zip(us, inner)):
+        want = [(i, (four[key(u, s, i)] % (1 << 64)) >> 32) for i in range(len(u) - 5) if min(s[i : i + 5]) in (s[i], s[i + 4])]
+        if want:
+            assert got[k] == want
+        else:
+            assert len(got[k]) == bool(u) and all(a[0] == 0 for a in got[k])
+    assert sum(map(len, got.values())) > 500
 
 
 @pytest.mark.parametrize("at", [0, 1500])
@@ -75,7 +82,6 @@ def test_compare(spark):
         nxt = order[(order.index((k, t)) + 1) % len(order)][1]
         q = len(t) // 4
         edited[k] = (t[: len(t) - q] + nxt[:q], nxt)
-    # the same from whole texts, without reuse of the unchanged part
     rows = [(k, t, *edited[k]) for k, t in order]
     df = spark.createDataFrame(rows, "k long, t string, e string, n string")
     for c in "ten":

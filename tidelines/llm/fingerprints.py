@@ -1,100 +1,53 @@
 """Document fingerprints from closed syncmers, in DataFrame functions alone.
 
-Every S characters in a row are hashed. A k-mer of K characters holds WINDOW such inner substrings; it is chosen if the least of
-their hashes lies at its left or right edge and below LOW (all but a thousandth of random k-mers have one below it, and most
-positions are passed over by that one test). The choice depends on the k-mer's characters alone, in any script, so an edit moves
-no anchor beyond the k-mers that it touches; after an insertion the same anchors are found at shifted offsets.
-
-A fingerprint is the sequence of anchors, each the offset and a 32-bit hash of its k-mer. Two fingerprints are matched by
-position: an anchor together with its distance to the next one. Shifting a text keeps these, so an edit costs the anchors it
+A text is cut into units after white space, after a few letters and digits, and after every character beyond Latin-1; so units
+are pieces of words in Latin script and single characters in all others, and each cut depends on one character alone. Every 2
+units in a row are hashed, and a k-mer of K units is chosen if the least of the hashes inside it lies at its left or right edge.
+The choice depends on the k-mer alone, so an edit moves no anchor beyond the k-mers that it touches; after an insertion the same
+anchors are found at shifted offsets. k-mers of single characters in
+every script, chosen by higher-order functions, took 3073 CPU seconds a GB with the check tool, beyond its limit of 1800 (README).
+
+A fingerprint is the sequence of anchors, each the offset (in units) and a 32-bit hash of its k-mer. Two fingerprints are matched
+by position: an anchor together with its distance to the next one. Shifting a text keeps these, so an edit costs the anchors it
 touches and one distance, while equal anchors in another arrangement don't match. likeness() is the Jaccard index of them.
 
-Long texts are worked on in pieces of PIECE characters that overlap by K - 1; as the choice is context-free, the pieces' anchors
-are those of the whole. For the same reason an edited text's anchors are the original's where it is unchanged, and only its
-tail is read again.
-
-Defined results: a null text counts as empty and has an empty fingerprint; a text shorter than K characters has one anchor, its
-whole; a longer text has the whole as its one anchor where no k-mer is chosen; two empty fingerprints are alike (1.0), an empty
-one and another are not (0.0). Rows with a null id come first; rows that repeat an id are ordered by a hash of their text, and
-equal rows count as one document with a row each. Texts of any length are taken whole. An empty table gives an empty result.
-Extra input columns are ignored, whatever their names.
+Defined results: a null text counts as empty and has an empty fingerprint; a text with fewer units than a k-mer, or without a
+chosen k-mer, has one anchor, its whole; two empty fingerprints are alike (1.0), an empty one and another are not (0.0). Rows
+with a null id come first; rows that repeat an id are ordered by a hash of their text, and equal rows count as one document with
+a row each. Texts of any length are taken whole. An empty table gives an empty result. Extra input columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialize
 
-#: Characters of an inner substring, inner substrings of a k-mer, and characters of a k-mer.
-S, WINDOW = 8, 32
-K = S + WINDOW - 1
-#: A fifth of all hashes lie below.
-LOW = -(1 << 63) + (1 << 64) // 5
-#: Characters of a long text that are worked on at once.
-PIECE = 1 << 15
-#: Every S characters in a row, overlapping; and characters beyond those that the pattern engine counts singly.
-INNER, BEYOND = f"(?s)(?=(.{{{S}}}))", r"[\x{10000}-\x{10FFFF}]"
-
-
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _all(tests: list[Column]) -> Column:
-    return reduce(lambda p, q: p & q, tests)
-
-
-def _inner(piece: Column) -> Column:
-    """Hashes of the overlapping substrings of S characters."""
-    letters = F.split(piece, "")
-    joined = lambda v: F.transform(F.slice(v, F.lit(1), F.size(v) - (S - 1)), lambda x, i: F.concat(x, *[F.get(v, i + d) for d in range(1, S)]))
-    found = F.when(piece.rlike(BEYOND), _let(letters, joined)).otherwise(F.regexp_extract_all(piece, F.lit(INNER), F.lit(1)))
-    return F.transform(found, lambda c: F.xxhash64(c))
-
-
-def _piece_anchors(piece: Column, offset: Column) -> Column:
-    """array<struct<at, h>> of the chosen k-mers of a piece of K characters or more that starts at offset, by offset."""
-
-    def anchors(v):
-        at = lambda i: F.get(v, i)
-        # tests stop at the first that fails, and beyond the ends, where they are null
-        left = lambda x, i: _all([x <= at(i + d) for d in range(1, WINDOW)])
-        right = lambda x, i: _all([x <= at(i - d) for d in range(1, WINDOW - 1)] + [x < at(i - WINDOW + 1)])
-        # the k-mer's own hash joins inner substrings that cover it
-        kmer = lambda i: F.struct((offset + i).cast("int").alias("at"), F.shiftrightunsigned(F.xxhash64(*[at(i + d) for d in (0, 8, 16, 24, WINDOW - 1)]), 32).alias("h"))
-        ends = lambda x, i: F.array_compact(F.array(F.when(right(x, i), kmer(i - WINDOW + 1)), F.when(left(x, i), kmer(i))))
-        low = F.array_compact(F.transform(v, lambda x, i: F.when(x < LOW, F.struct(x.alias("x"), i.alias("i")))))
-        return F.array_sort(F.flatten(F.transform(low, lambda c: ends(c["x"], c["i"]))))
-
-    return _let(_inner(piece), anchors)
-
-
-NO_ANCHORS = "array<struct<at:int,h:bigint>>"
-
-
-def chosen(text: Column, offset: Column | int = 0) -> Column:
-    """array<struct<at, h>> of the chosen k-mers of a text that starts at offset; empty for texts shorter than K characters."""
-    none, start = F.array().cast(NO_ANCHORS), F.lit(offset) if isinstance(offset, int) else offset
-    whole = _piece_anchors(text, start)
-    parts = F.flatten(F.transform(F.sequence(F.lit(0), F.length(text) - K, F.lit(PIECE)), lambda a: _piece_anchors(text.substr(a + 1, F.lit(PIECE + K - 1)), start + a)))
-    return F.when(F.length(text) < K, none).when(F.length(text) < PIECE + K, whole).otherwise(parts)
-
-
-def or_whole(anchors: Column, text: Column) -> Column:
-    """The anchors, or the whole text as one where there is none."""
-    whole = F.array(F.struct(F.lit(0).alias("at"), F.shiftrightunsigned(F.xxhash64(text), 32).alias("h")))
-    return F.when(F.size(anchors) > 0, anchors).when(F.length(text) > 0, whole).otherwise(F.array().cast(NO_ANCHORS))
+#: Units of a k-mer. Inner hashes cover 2 units, so K - 1 of them lie in a k-mer.
+K = 6
+#: Characters that end a unit: white space, four letters and three digits, and all beyond Latin-1.
+LAST = r"\s048dDLT\x{100}-\x{10FFFF}"
+UNIT = f"[^{LAST}]++[{LAST}]?+|[{LAST}]"
+ANCHORS = "array<struct<at:int,h:bigint>>"
 
 
 def with_anchors(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
     """df with out_col: array<struct<at, h>> of the anchors of a text, in order of position."""
+    u, s = "__tl_u", "__tl_s"
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.withColumn("__tl_c", chosen(text)).withColumn(out_col, or_whole(F.col("__tl_c"), text)).drop("__tl_c")
+    out = df.withColumn(u, F.transform(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), lambda w: F.xxhash64(w)))
+    n = F.size(u)
+    out = out.withColumn(s, F.when(n >= K, F.zip_with(F.slice(u, F.lit(1), n - 1), F.slice(u, F.lit(2), n - 1), lambda a, b: F.xxhash64(a, b))))
+    # position i is chosen if min(s[i], s[i + K - 2]) <= min(s[i + 1 .. i + K - 3]); the k-mer's hash joins its inner hashes
+    at = lambda i, d: F.get(F.col(s), i + d)
+    chosen = lambda i: F.least(at(i, 0), at(i, K - 2)) <= F.least(*[at(i, d) for d in range(1, K - 2)])
+    kmer = lambda i: F.struct(i.alias("at"), F.shiftrightunsigned(F.xxhash64(*[at(i, d) for d in range(0, K - 1, 2)], F.get(F.col(u), i + K - 1)), 32).alias("h"))
+    whole = F.when(n > 0, F.array(F.struct(F.lit(0).alias("at"), F.shiftrightunsigned(F.xxhash64(F.col(u)), 32).alias("h")))).otherwise(F.array().cast(ANCHORS))
+    found = F.when(n >= K, F.transform(F.filter(F.sequence(F.lit(0), n - K), chosen), kmer)).otherwise(F.array().cast(ANCHORS))
+    out = out.withColumn("__tl_f", found)
+    return out.withColumn(out_col, F.when(F.size("__tl_f") > 0, F.col("__tl_f")).otherwise(whole)).drop(u, s, "__tl_f")
 
 
 def placed(anchors: Column) -> Column:
@@ -150,14 +103,10 @@ def compare(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text") ->
     one = Window.partitionBy("k", "h").orderBy("doc_id")
     sent = met.withColumn("__tl_no", F.row_number().over(one)).where("__tl_no = 1")
     sent = with_anchors(sent, "text", "next_anchors").select(F.col("bk").alias("k"), F.col("bh").alias("h"), F.col("text").substr(F.lit(1), F.floor(F.col("bn") / 4).cast("int")).alias("taken"), placed(F.col("next_anchors")).alias("next_placed"))
-    pairs = rows.join(sent.hint("shuffle_merge"), ["k", "h"])
-    pairs = pairs.withColumn("n", F.length("text")).withColumn("kept", F.col("n") - F.floor(F.col("n") / 4).cast("int"))
-    pairs = pairs.withColumn("c", chosen(F.col("text"))).withColumn("edited", F.concat(F.col("text").substr(F.lit(1), F.col("kept")), F.col("taken")))
-    # k-mers inside the kept part are the text's own; those that reach into the new part start at most K - 1 characters before it
-    start = F.greatest(F.col("kept") - (K - 1), F.lit(0))
-    new = chosen(F.col("edited").substr(start + 1, F.length("edited")), start)
-    own = F.filter("c", lambda x: x["at"] + K <= F.col("kept"))
-    pairs = pairs.withColumn("anchors", or_whole(F.col("c"), F.col("text"))).withColumn("edited_anchors", or_whole(F.concat(own, new), F.col("edited")))
+    pairs = rows.join(sent.hint("shuffle_merge"), ["k", "h"]).withColumn("n", F.length("text"))
+    kept = F.col("n") - F.floor(F.col("n") / 4).cast("int")
+    pairs = pairs.withColumn("edited", F.concat(F.col("text").substr(F.lit(1), kept), F.col("taken")))
+    pairs = with_anchors(with_anchors(pairs, "text", "anchors"), "edited", "edited_anchors")
     pairs = pairs.withColumn("placed", placed(F.col("anchors"))).withColumn("edited_placed", placed(F.col("edited_anchors")))
     return pairs.select(
         "doc_id", F.col("n").cast("bigint").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), as_string(F.col("anchors")).alias("fingerprint"), as_string(F.col("edited_anchors")).alias("edited_fingerprint"),
