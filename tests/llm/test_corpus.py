@@ -115,6 +115,26 @@ def test_swap_penalty_closes_the_gap():
     assert gap[5.0] < 0.3 * gap[0.0]
 
 
+def test_all_swaps_are_made():
+    text = "muslims met hindus. " * 50 + "Christians and Muslims"
+    got = {(a, b): n for a, b, n in toxicity.swaps(text)}
+    assert got["muslims", "christians"] == 51 and got["hindus", "muslims"] == 50 and got["hindus", "juden"] == 50
+    assert ("muslims", "muslims") not in got
+
+
+def test_penalty_lowers_neutral_mentions(spark):
+    """On the real table: the mean change of the score when a sentence about a group names another one instead."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    change = {}
+    for weight in (0.0, 1.0):
+        model = toxicity.train(docs, labels, swap_weight=weight)
+        w = model.word_weights()
+        said = [model.margin(f"the {name} came to the market today", w) for kind in toxicity.KINDS for name in kind]
+        change[weight] = float(np.std(said))
+    assert change[1.0] <= change[0.0]
+
+
 def test_toxicity_odd_rows(spark):
     docs = odd_docs(spark)
     model = toxicity.train(docs, spark.createDataFrame([(1, 0), (4, 1), (None, 1), (77, 1), (6, None)], "doc_id long, label int"))
@@ -305,6 +325,20 @@ def test_quality_against_labels(spark):
     assert sum(not r.keep for r in got if not r.quality) / sum(not r.quality for r in got) > 0.9
 
 
+def test_one_posterior_class_scores_by_the_posterior(spark):
+    docs = spark.createDataFrame([(i, "The sun shines on the old town and people walk along the river to meet their friends today.") for i in range(30)], "doc_id long, text string")
+    model = quality.train(docs)
+    got = quality.score_documents(docs, model).select("score", "weak_label", "votes").distinct().collect()
+    assert len(got) == 1 and got[0].score == got[0].weak_label == model.labels.posterior(got[0].votes)
+
+
+def test_texts_without_spaces_count_whole():
+    shapes = quality._state()[0]
+    head = "x" * 60
+    assert quality.votes(quality.facts(head + "|" * 900, shapes)) != quality.votes(quality.facts(head + "ab" * 450, shapes))
+    assert quality.shape("Hello!!World??").endswith("??")
+
+
 def test_quality_odd_rows(spark):
     docs = odd_docs(spark)
     assert quality.score_documents(docs, quality.train(docs)).count() == 9

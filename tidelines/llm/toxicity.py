@@ -1,6 +1,7 @@
 """Toxicity scores from a counterfactual-regularised linear classifier.
 
-Each distinct word of a text gives hashed features: the word and its first 4, 5 and 6 characters. Training minimises the
+Each distinct word of a text gives hashed features: the word and its first 4, 5 and 6 characters. A feature counts as often as
+words of the text have it, up to MOST times, in training as in scoring. Training minimises the
 log loss plus a penalty on score changes: in every labelled sentence that names a group, the name is swapped for the others
 of its kind, and the squared change of the score is added. Weights of group names thus shrink towards each other, which
 keeps neutral mentions from counting as toxic.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._common import bound_batches, memo, worker_state
 
-#: Names of groups that may stand for each other, one kind a line.
+#: Names of groups that may stand for each other, one kind a line. A word of two lines swaps with both.
 GROUPS = """
 christian muslim jewish hindu buddhist atheist catholic protestant
 christians muslims jews hindus buddhists atheists catholics protestants
@@ -43,8 +45,17 @@ femmes hommes filles garçons
 cristianos musulmanes judíos hindúes budistas
 mujeres hombres chicas chicos
 extranjeros refugiados inmigrantes
+disabled deaf blind autistic
+behinderte gehörlose blinde
+handicapés sourds aveugles
+discapacitados sordos ciegos
+elderly young teenage
 """
 KINDS = [line.split() for line in GROUPS.strip().splitlines()]
+#: By name: the names that it is swapped with.
+OTHERS = {w: sorted({o for kind in KINDS if w in kind for o in kind} - {w}) for kind in KINDS for w in kind}
+#: A feature counts this often in a text at most, in the fit and in the score alike.
+MOST = 3
 
 BITS = 18
 #: Bounds of the labelled sample that the classifier is fitted on, by class.
@@ -62,16 +73,12 @@ def word_features(raw: str) -> list[int]:
     return [xxhash.xxh32_intdigest(x) & ((1 << BITS) - 1) for x in names]
 
 
-def swaps(text: str, most: int = 64) -> list[tuple[str, str]]:
-    """(name, other name) for each sentence of a labelled text that names a group; `most` bounds them by text."""
-    kind = {w: k for k in KINDS for w in k}
-    found = []
+def swaps(text: str) -> list[tuple[str, str, int]]:
+    """(name, other name, how often) for all sentences of a text that name a group."""
+    found: Counter[str] = Counter()
     for sentence in re.split(r"[.!?\n]+", text):
-        for raw in set(sentence.split()):
-            word = raw.strip(EDGES).lower()
-            if word in kind:
-                found += [(word, other) for other in kind[word] if other != word]
-    return found[:most]
+        found.update({word for raw in set(sentence.split()) if (word := raw.strip(EDGES).lower()) in OTHERS})
+    return [(word, other, n) for word, n in sorted(found.items()) for other in OTHERS[word]]
 
 
 @dataclass
@@ -85,12 +92,15 @@ class LinearModel:
     def key(self) -> str:
         return hashlib.sha256(self.index.tobytes() + self.weight.tobytes() + str(self.intercept).encode()).hexdigest()
 
-    def word_weights(self) -> dict[str, float]:
+    def word_weights(self) -> dict[str, tuple]:
+        """By word: its features that have a weight, as (feature, weight)."""
         known = dict(zip(self.index.tolist(), self.weight.tolist(), strict=True))
-        return memo(lambda raw: sum(known.get(f, 0.0) for f in word_features(raw)), 300_000, 48)
+        return memo(lambda raw: tuple((f, known[f]) for f in word_features(raw) if f in known), 300_000, 48)
 
-    def margin(self, text: str | None, weights: dict[str, float]) -> float:
-        return self.intercept + math.fsum(map(weights.__getitem__, set((text or "").split())))  # exact, so in any order
+    def margin(self, text: str | None, weights: dict[str, tuple]) -> float:
+        """Each feature counts by the words of the text that have it, up to MOST of them. The sum is exact, so in any order."""
+        found = [fw for raw in set((text or "").split()) for fw in weights[raw]]
+        return self.intercept + math.fsum(fw[1] * min(n, MOST) for fw, n in Counter(found).items())
 
 
 def _examples(rows):
@@ -104,13 +114,17 @@ def _examples(rows):
             words = [f for raw in set((text or "").split()) for f in features[raw]]
             found = np.unique(np.array(words, np.int32), return_counts=True)
             pairs = swaps(text or "")
-            found += tuple([x for pair in pairs for x in [*word_features(pair[i]), -1]] for i in (0, 1))
+            found += tuple([x for pair in pairs for x in [*word_features(pair[i]), -pair[2]]] for i in (0, 1))
             out.append((label, *(np.asarray(x, np.int32).tobytes() for x in found)))
         yield pd.DataFrame(out, columns=["label", "f", "n", "a", "b"])
 
 
 def fit(examples: list, swap_weight: float = 1.0, l2: float = 5e-4, steps: int = 300) -> LinearModel:
-    """examples: rows of label, feature ids, counts, and the features before and after each swap (ended by -1), packed as int32."""
+    """examples: rows of label, feature ids, counts, and the features before and after each swap, packed as int32.
+
+    A swap's features are ended by minus the number of sentences that it stands for; equal swaps are summed, and the penalty is the
+    mean squared change over all sentences' swaps.
+    """
     examples = [(e[0], *(np.frombuffer(x, np.int32) for x in e[1:5])) for e in examples]
     y = np.array([e[0] for e in examples], np.float64)
     if len(set(y.tolist())) < 2:
@@ -128,18 +142,21 @@ def fit(examples: list, swap_weight: float = 1.0, l2: float = 5e-4, steps: int =
     place = np.full(size, -1, np.int64)
     place[keep] = np.arange(len(keep))
     used = place[col] >= 0
-    row, col, val = row[used], place[col[used]], np.minimum(val[used], 3).astype(np.float64)
-    d_row, d_col, d_val, n = [], [], [], 0
+    row, col, val = row[used], place[col[used]].astype(np.int32), np.minimum(val[used], MOST).astype(np.float64)
+    times: Counter[tuple] = Counter()
     for e in examples:
-        for sign, ids in ((1.0, e[3]), (-1.0, e[4])):
-            k = n
+        ends = [np.flatnonzero(ids < 0) for ids in (e[3], e[4])]
+        for k in range(len(ends[0])):
+            before, after = (tuple(ids[(end[k - 1] + 1 if k else 0) : end[k]].tolist()) for ids, end in zip((e[3], e[4]), ends, strict=True))
+            times[before, after] -= int(e[3][ends[0][k]])
+    d_row, d_col, d_val = [], [], []
+    for k, sides in enumerate(times):
+        for sign, ids in zip((1.0, -1.0), sides, strict=True):
             for f in ids:
-                if f < 0:
-                    k += 1
-                elif place[f] >= 0:
+                if place[f] >= 0:
                     d_row.append(k), d_col.append(place[f]), d_val.append(sign)
-        n += sum(f < 0 for f in e[3])
-    d_row, d_col, d_val = np.array(d_row, np.int64), np.array(d_col, np.int64), np.array(d_val)
+    d_row, d_col, d_val, n = np.array(d_row, np.int64), np.array(d_col, np.int64), np.array(d_val), len(times)
+    share = np.array(list(times.values()), np.float64) / max(1, sum(times.values()))
     w, b = np.zeros(len(keep)), 0.0
     m, v = np.zeros(len(keep) + 1), np.zeros(len(keep) + 1)
     balance = np.where(y == 1, len(y) / 2 / (y == 1).sum(), len(y) / 2 / (y == 0).sum())
@@ -149,7 +166,7 @@ def fit(examples: list, swap_weight: float = 1.0, l2: float = 5e-4, steps: int =
         grad = np.append(np.bincount(col, val * g[row], minlength=len(keep)) + l2 * w, g.sum())
         if n:
             change = np.bincount(d_row, d_val * w[d_col], minlength=n)
-            grad[:-1] += 2 * swap_weight / n * np.bincount(d_col, d_val * change[d_row], minlength=len(keep))
+            grad[:-1] += 2 * swap_weight * np.bincount(d_col, d_val * (share * change)[d_row], minlength=len(keep))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
