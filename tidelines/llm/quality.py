@@ -5,8 +5,8 @@ taken over all documents, estimates every labeller's accuracy and the share of g
 then train a hashed linear scorer on word shapes, which judges all texts.
 
 Defined results: null and empty texts get no votes and the score of the intercept alone; repeated rows are scored each;
-texts of any length are scored whole; if all documents have one posterior class, the posterior itself is the score; an empty
-table gives an empty result. Output columns replace input columns of the same name.
+texts of any length are scored whole; if the posteriors of all documents favour one class, each document's posterior itself is
+its score; an empty table gives an empty result. Output columns replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from ._common import bound_batches, memo, worker_state
 #: Names of the labellers, in the order of their votes.
 LABELLERS = ("repeats", "variety", "shouting", "marks", "columns", "endings", "prose")
 BITS = 16
+#: Characters of a word; longer ones are cut.
+LONGEST = 40
 #: Bounds of the sample that the scorer is fitted on, by the class that the posterior favours.
 SAMPLE = {0: 2500, 1: 2500}
 
@@ -35,13 +37,17 @@ def shape(word: str) -> str:
         k = "x" if c.islower() else "X" if c.isupper() else "9" if c.isdigit() else "a" if c.isalpha() else c
         if not out.endswith(k * 2):
             out += k
-        if len(out) >= 8:
-            break
-    return out.replace("xx", "x")
+    # the first classes, and the last two, which tell an ending
+    return (out if len(out) <= 10 else out[:8] + out[-2:]).replace("xx", "x")
+
+
+def words_of(text: str) -> list[str]:
+    """Words, those without an end cut into pieces, so that texts without spaces count whole."""
+    return [w[i : i + LONGEST] for w in text.split() for i in range(0, len(w), LONGEST)] if len(text) > LONGEST else text.split()
 
 
 def facts(text: str, shapes: dict[str, str]) -> dict:
-    words = text.split()
+    words = words_of(text)
     n = len(words)
     kinds = Counter(map(shapes.__getitem__, words))
     share = lambda test: sum(v for k, v in kinds.items() if test(k)) / n if n else 0.0
@@ -159,11 +165,11 @@ def vote_column(text: Column) -> Column:
 @dataclass
 class QualityModel:
     labels: LabelModel
-    weight: np.ndarray
+    weight: np.ndarray | None  # None: the posterior is the score
     intercept: float
 
     def key(self) -> str:
-        return hashlib.sha256(self.weight.tobytes() + str(self.intercept).encode()).hexdigest()
+        return hashlib.sha256((b"" if self.weight is None else self.weight.tobytes()) + str(self.intercept).encode()).hexdigest()
 
 
 def _examples(rows):
@@ -184,7 +190,7 @@ def train(docs: DataFrame, sample: dict[int, int] | None = None, l2: float = 1e-
     model = fit_labels(patterns)
     good = {k for k in patterns if model.posterior(k) >= 0.5}
     if not good or len(good) == len(patterns):
-        return QualityModel(model, np.zeros(1 << BITS), 4.0 if good else -4.0)
+        return QualityModel(model, None, 0.0)
     bits = {c: sum(patterns[k] for k in patterns if (k in good) == bool(c)) for c in (0, 1)}
     # a hash threshold twice as wide as needed bounds what is sorted; limit() sets the size
     h = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -224,16 +230,20 @@ def score_documents(df: DataFrame, model: QualityModel, text_col: str = "text",
 
         import pyarrow as pa
 
-        (shapes, buckets), weight = _state(), worker_state(key, lambda: model.weight)
+        (shapes, buckets), weight = _state(), worker_state(key, lambda: [model.weight])[0]
         said, weak, scores = [], [], []
         for t in texts:
             f = facts(t.as_py() or "", shapes)
+            if weight is None:
+                said.append(votes(f))
+                continue
             ids, vals = hashed(f, buckets)
             s = model.intercept + (math.fsum((weight[ids] * vals).tolist()) if f["n"] else 0.0)
             said.append(votes(f))
             scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, s)))))
         known: dict[str, float] = {}
         weak = [known.setdefault(k, model.labels.posterior(k)) if k not in known else known[k] for k in said]
+        scores = weak if weight is None else scores
         return pa.StructArray.from_arrays([pa.array(said), pa.array(weak, pa.float64()), pa.array(scores, pa.float64())], ["votes", "weak_label", "score"])
 
     judge.__annotations__ = {}
