@@ -18,6 +18,7 @@ from .odd import DOCS, WORDS, D, odd_docs, sha
 
 # op1
 def test_warc_round_trip(spark):
+    # a whole record inside a payload, and a magic without a head
     evil = "a" * 120 + "\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\nWARC/1.0\r\n"
     rows = [(1, "u", evil), (2, None, None), (3, "u\r\nX: y", ""), (5, "u", evil), (4, "u", evil), (6, "u", "short"), (7, "u", "short"), (5, "u", evil), (None, "u", evil)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, record_type string")
@@ -33,6 +34,26 @@ def test_warc_round_trip(spark):
     assert sorted(bytes(r.payload).decode() for r in warc.read_payloads(spark, path).collect()) == sorted((h or "") if not (h == evil and i != 1) else "" for i, _, h in rows)
 
 
+def test_warc_gzip_broken_chains_and_fake_heads(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 40 + "WARC/1.1\r\n" * 50) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    path = fresh_path(spark, "t")
+    warc.write_archives(pages, path, gzip=True)
+    assert sorted(int(r.record_id) for r in warc.read_archives(spark, path).collect()) == list(range(20))
+    path = fresh_path(spark, "t")
+    warc.write_archives(pages, path)
+    (file,) = [f for f in __import__("pathlib").Path(path.removeprefix("file://")).iterdir() if f.name.endswith(".warc")]
+    data = file.read_bytes()
+    assert data.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and b"\r\nWARC-Date: " in data
+    places = [at for at, _, _ in warc.candidates(data)]
+    cut = data.index(b"Content-Length: ", places[9]) + 16
+    for name, bad in (("wrong-length", data[:cut] + b"7" + data[cut + 1 :]), ("truncated", data[:-9]), ("no-start", b"xx" + data)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(bad)
+        with pytest.raises(Exception, match="no record and no end at offset"):
+            warc.read_archives(spark, str(tmp_path / name)).collect()
+    assert warc.read_archives(spark, str(tmp_path / "wrong-length"), strict=False).count() == 10
+
+
 def test_pointer_jumping_rejects_payload_magic():
     start, nxt = np.array([0, 30, 50, 70, 90]), np.array([50, 70, 90, 99, 120])
     assert warc.reachable(start, nxt).tolist() == [True, False, True, False, True]

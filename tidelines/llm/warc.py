@@ -1,9 +1,11 @@
 """WARC archives: writing through Spark's text writer, reading with boundary-chain verification.
 
 Every record is one line of the text writer, whose line separator is the record separator (two line breaks), so archives can
-be written to any store that Spark writes to. Reading emits a candidate for every occurrence of the record magic, with the
+be written to any store that Spark writes to, plain or gzipped. A response's block is an HTTP response with the payload as its
+body; a revisit's is the HTTP head alone. Reading emits a candidate for every occurrence of the record magic, with the
 offset of the record that its Content-Length says comes next. Payloads may hold the magic too; pointer jumping from the start
-of each file then keeps only the candidates that the chain reaches.
+of each file then keeps only the candidates that the chain reaches, and only their payloads are cut out and hashed. A chain
+that doesn't end at the file's end is an error that names the file and the offset.
 
 Defined results: a null payload is an empty one; payloads of any length are kept whole; of equal payloads of at least
 `least_bytes` bytes those with the smallest id are responses and the others revisits (rows that repeat the smallest id are all
@@ -13,6 +15,7 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,15 +24,18 @@ from pyspark.sql import functions as F
 
 from ._common import materialize
 
-MAGIC = b"WARC/1.0\r\n"
+MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 END = "\r\n\r\n"
-#: Archives hold about this many bytes at most, so that a reader's task can hold one.
+#: Fixed value: the profile of revisits with an identical payload.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Archives hold about this many bytes, by the mean size of a record, so that a reader's task can hold one.
 ARCHIVE_BYTES = 16 << 20
 
+CANDIDATE_SCHEMA = "path string, start long, next long"
 RECORD_SCHEMA = "path string, start long, next long, size long, record_id string, record_type string, uri string, digest string, refers_to string, payload_bytes long, payload_digest string"
 
 
-def records(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
+def records(pages: DataFrame, least_bytes: int = 100, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """id, record: a WARC record by page, repeated payloads as revisits.
 
     The smallest id by digest comes from an aggregation that combines before it shuffles. Only digests that occur twice enter the
@@ -44,38 +50,60 @@ def records(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     uri = F.regexp_replace("url", r"[\r\n]", " ")
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(END))
     head = [
-        F.lit("WARC/1.0\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), page, F.lit(">\r\nWARC-Target-URI: "), uri,
+        F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
+        F.lit("\r\nWARC-Record-ID: <urn:page:"), page, F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), uri,
         F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("digest"),
-        F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"), F.col("first"), F.lit(">\r\nWARC-Payload-Length: "), F.col("size"))).otherwise(""),
-        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.when(revisit, 0).otherwise(F.col("size")), F.lit(END),
-        F.when(revisit, "").otherwise(F.col("payload")),
+        F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"), F.col("first"), F.lit(f">\r\nWARC-Profile: {PROFILE}"))).otherwise(""),
+        F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), (F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("size"))).cast("string"), F.lit(END),
+        http, F.when(revisit, "").otherwise(F.col("payload")),
     ]
     return joined.select("page_id", F.concat(*head).alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 100, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write pages (page_id, url, html) as .warc files of about archive_bytes at most (one larger record gets its own)."""
-    found = records(pages, least_bytes)
-    sizes = pages.agg(F.avg(F.octet_length("html")), F.max(F.octet_length("html"))).first()
-    mean = (sizes[0] or 0) + 300
-    found.select("record").write.option("lineSep", END).option("maxRecordsPerFile", max(1, int(archive_bytes / mean))).text(path)
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 100, archive_bytes: int = ARCHIVE_BYTES, date: str = "1970-01-01T00:00:00Z", gzip: bool = False) -> None:
+    """Write pages (page_id, url, html) as .warc or .warc.gz files of about archive_bytes."""
+    found = records(pages, least_bytes, date)
+    mean = (pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0) + 500
+    writer = found.select("record").write.option("lineSep", END).option("maxRecordsPerFile", max(1, int(archive_bytes / mean)))
+    (writer.option("compression", "gzip") if gzip else writer).text(path)
+    # Spark's text files get their proper names
+    spark = pages.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for status in store.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("part-"):
+            store.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(folder, name.replace(".txt", ".warc")))
 
 
-def candidates(path: str, data: bytes) -> Iterator[tuple]:
-    """Every place that looks like a record: start, next start, and the fields of its head."""
-    at = data.find(MAGIC)
-    while at >= 0:
-        stop = data.find(b"\r\n\r\n", at)
-        fields = {}
-        if stop >= 0:
-            for line in data[at + len(MAGIC) : stop].split(b"\r\n"):
-                k, _, v = line.partition(b":")
-                fields[k.strip().lower()] = v.strip().decode("utf-8", "replace")
-        if (size := fields.get(b"content-length", "")).isdigit():
-            yield at, stop + 4, int(size), fields
-        at = data.find(MAGIC, at + 1)
+def unpacked(name: str, data: bytes) -> bytes:
+    """An archive's bytes; gzipped ones may have a member by record."""
+    import gzip
+
+    return gzip.decompress(data) if name.endswith(".gz") else data
+
+
+def head_of(data: bytes, start: int, body: int) -> dict[str, str]:
+    """The fields of a head, by lower-case name; its last four bytes are the blank line."""
+    fields = {}
+    for line in data[start : body - 4].split(b"\r\n")[1:]:
+        k, _, v = line.partition(b":")
+        fields[k.strip().lower().decode("utf-8", "replace")] = v.strip().decode("utf-8", "replace")
+    return fields
+
+
+def candidates(data: bytes) -> Iterator[tuple[int, int, int]]:
+    """Every place that looks like a record: its start, its block's start and the start of the next record.
+
+    A head ends at its blank line; where the magic comes again before that, the head holds a line that is no field.
+    """
+    places = [m.start() for m in MAGIC.finditer(data)]
+    for at, following in zip(places, [*places[1:], len(data)], strict=True):
+        stop = data.find(b"\r\n\r\n", at, max(following, at + 14))
+        if stop >= 0 and (size := head_of(data, at, stop + 4).get("content-length", "")).isdecimal() and size.isascii():
+            yield at, stop + 4, stop + 4 + int(size) + 4
 
 
 def reachable(start: np.ndarray, following: np.ndarray) -> np.ndarray:
@@ -93,45 +121,109 @@ def reachable(start: np.ndarray, following: np.ndarray) -> np.ndarray:
     return reached[:n]
 
 
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").load(path).select("path", "content")
+
+
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    """A row by candidate record of the archives under path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
+    """path, start, next of every candidate record of the archives under path, and a row without next at the end of each file."""
 
     def scan(batches):
-        import hashlib
-
         import pyarrow as pa
 
-        names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
-        long = {"start", "next", "size", "payload_bytes"}
         for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                data, rows = content.as_py(), []
-                for at, body, size, f in candidates(name.as_py(), data):
-                    payload = data[body : body + size]
-                    get = lambda k, f=f: f.get(k.encode())
-                    bare = lambda x: x and x.removeprefix("<urn:page:").removesuffix(">")
-                    whole = len(payload) == size
-                    rows.append((name.as_py(), at, body + size + 4, size, bare(get("warc-record-id")), get("warc-type"), get("warc-target-uri"), (get("warc-payload-digest") or "").removeprefix("sha256:"), bare(get("warc-refers-to")), len(payload) if whole else None, hashlib.sha256(payload).hexdigest() if whole else None))
-                for i in range(0, len(rows), 5000):
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64() if n in long else pa.string()) for n, c in zip(names, zip(*rows[i : i + 5000], strict=True), strict=True)], names=names)
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = unpacked(name, content.as_py())
+                found = [(at, after) for at, _, after in candidates(data)] + [(len(data), None)]
+                for i in range(0, len(found), 100_000):
+                    part = found[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), *(pa.array([f[j] for f in part], pa.int64()) for j in (0, 1))], names=["path", "start", "next"])
+
+    return files_of(spark, path).mapInArrow(scan, CANDIDATE_SCHEMA)
 
-    return files.mapInArrow(scan, RECORD_SCHEMA)
 
+def verify_chain(found: DataFrame, strict: bool = True) -> DataFrame:
+    """Keep the candidates on the chain from the start of their file. A file's candidates are bounded by its size.
 
-def verify_chain(found: DataFrame) -> DataFrame:
-    """Keep the candidates on the chain from the start of their file. A file's candidates are bounded by its size."""
+    A chain that breaks before the file's end is an error, or with strict=False loses the records after the break.
+    """
 
     def chain(pdf):
-        pdf = pdf.sort_values("start", ignore_index=True)
-        return pdf[reachable(pdf["start"].to_numpy(), pdf["next"].to_numpy())]
+        pdf = pdf.sort_values(["start", "next"], ignore_index=True)  # the file's end comes last
+        start, following = pdf["start"].to_numpy(), pdf["next"].fillna(-1).to_numpy().astype(np.int64)
+        on = reachable(start, following)
+        if strict and not on[-1]:
+            last = following[on][-1] if on.any() else 0
+            raise ValueError(f"{pdf['path'][0]}: no record and no end at offset {last}")
+        on &= following >= 0
+        return pdf[on]
+
+    return found.groupBy("path").applyInPandas(chain, CANDIDATE_SCHEMA)
 
-    return found.groupBy("path").applyInPandas(chain, RECORD_SCHEMA)
 
+def cut_records(spark: SparkSession, path: str, kept: DataFrame) -> DataFrame:
+    """path, head, start, next, payload of the records at the kept offsets: the files are read again, and only those cut out.
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    A file's offsets are bounded by its size, so they meet it as one row.
+    """
+    offsets = kept.groupBy("path").agg(F.array_sort(F.collect_list("start")).alias("starts"))
+    files = files_of(spark, path).join(offsets, "path").select("path", "content", "starts")
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, content, starts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                data, rows, held = unpacked(name, content.as_py()), [], 0
+                for at in starts.values.to_pylist():
+                    body = data.find(b"\r\n\r\n", at) + 4
+                    size = int(head_of(data, at, body)["content-length"])
+                    block = data[body : body + size]
+                    http = block.find(b"\r\n\r\n") if block.startswith(b"HTTP/") else -4
+                    payload = block[http + 4 :] if http != -1 else b""
+                    rows.append((name, data[at:body], at, body + size + 4, payload))
+                    held += size
+                    if held > 4 << 20 or len(rows) >= 2000:
+                        yield pack(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield pack(rows)
+
+    def pack(rows):
+        import pyarrow as pa
+
+        kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "head", "start", "next", "payload"])
+
+    return files.mapInArrow(cut, "path string, head binary, start long, next long, payload binary")
+
+
+def described(cut: DataFrame) -> DataFrame:
+    """The records with the fields of their heads, and length and digest of their payloads."""
+
+    def describe(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
+        long = {"start", "next", "size", "payload_bytes"}
+        bare = lambda x: x and x.removeprefix("<").removesuffix(">").removeprefix("urn:page:")
+        for batch in batches:
+            rows = []
+            for path, head, start, after, payload in zip(*batch.columns, strict=True):
+                f, body = head_of(head.as_py(), 0, len(head.as_py())), payload.as_py()
+                digest = (f.get("warc-payload-digest") or "").removeprefix("sha256:")
+                rows.append((path.as_py(), start.as_py(), after.as_py(), int(f["content-length"]), bare(f.get("warc-record-id")), f.get("warc-type"), f.get("warc-target-uri"), digest, bare(f.get("warc-refers-to")), len(body), hashlib.sha256(body).hexdigest()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64() if n in long else pa.string()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+
+    return cut.mapInArrow(describe, RECORD_SCHEMA)
+
+
+def read_archives(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Verified records of the archives under path; revisits get length and digest from the response they refer to."""
-    kept = verify_chain(read_candidates(spark, path))
+    kept = described(cut_records(spark, path, verify_chain(read_candidates(spark, path), strict)))
     answers = kept.where("record_type = 'response'").groupBy(F.col("record_id").alias("__tl_id"), F.col("payload_digest").alias("__tl_digest")).agg(F.max("payload_bytes").alias("__tl_bytes"))
     revisit = F.col("record_type") == "revisit"
     joined = kept.join(answers, revisit & (kept["refers_to"] == answers["__tl_id"]) & (kept["digest"] == answers["__tl_digest"]), "left")
@@ -140,18 +232,4 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """path, start and payload (binary) of every verified record."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
-
-    def cut(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                data = content.as_py()
-                found = list(candidates("", data))
-                on = reachable(np.array([c[0] for c in found], np.int64), np.array([c[1] + c[2] + 4 for c in found], np.int64))
-                for ok, (at, body, size, _) in zip(on, found, strict=True):
-                    if ok:
-                        yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([at], pa.int64()), pa.array([data[body : body + size]], pa.binary())], names=["path", "start", "payload"])
-
-    return files.mapInArrow(cut, "path string, start long, payload binary")
+    return cut_records(spark, path, verify_chain(read_candidates(spark, path))).select("path", "start", "payload")
