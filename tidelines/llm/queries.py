@@ -46,7 +46,9 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.digest_windows(chat.format_conversations(turns, budget=1024, history=256))
+    # a turn's tokens, and four for its marks
+    turns = turns.withColumn("n", token_counts.token_count(turns["text"], _vocabulary("piece_bpe_32k.model")) + 4)
+    return chat.digest_windows(chat.format_conversations(turns, budget=1024, history=256, n_tokens_col="n"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
