@@ -98,6 +98,19 @@ def test_ann_recall_in_full_blocks_of_isotropic_rows():
     assert np.mean([len(got[q] & set(want[q])) / 5 for q in want]) >= 0.95
 
 
+def test_ann_blocks_of_queries_and_vanishing_approximations(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 8)
+    v = np.random.default_rng(3).normal(size=(900, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    index, books = ann.build_index(df)
+    got = {(r.query_id, r.rank): r.vec_id for r in ann.search(index, books, index.where("vec_id % 20 = 0").select("vec_id", "v")).collect()}
+    want = ann.exact_neighbours(np.arange(900), v, np.arange(0, 900, 20))
+    assert got == {(q, i + 1): x for q, found in want.items() for i, x in enumerate(found)}
+    none = np.zeros(900, np.float32)
+    codes, _ = books.encode(ann._unit(v).astype(np.float32))
+    assert len(ann.search_block(books, np.array([0]), v[:1], np.arange(900), v, codes, none, 5, 100)[0]) == 5
+
+
 def test_ann_small_and_empty(spark):
     schema = "vec_id long, embedding array<float>"
     index, books = ann.build_index(spark.createDataFrame([(0, [1.0, 0.0]), (50, [1.0, 1.0]), (51, [0.0, 2.0])], schema))

@@ -5,7 +5,8 @@ a bounded sample; encoding is a beam search over the codebooks; each row stores
 A query's inner products with all codewords form a lookup table, so a row's approximate cosine is a sum of lookups over its
 norm. The best rows of every block are then scored exactly, in double precision, on the original vectors.
 
-The index holds all rows. Queries are taken in blocks of bounded size; each block is broadcast and meets every row.
+The index holds all rows. Queries are taken in blocks of bounded size, one after the other; each block is broadcast, meets every
+row and leaves a table of results, so that the driver and the executors hold one block at a time.
 
 Defined results: vectors that are null, empty, zero, of another length than the index's, or hold null or non-finite components
 take no part, nor do rows with a null id; of rows that repeat an id each counts, and a query never finds rows of its own id;
@@ -28,7 +29,7 @@ SAMPLE = 8192
 BOOKS, WORDS, BEAM = 8, 256, 4
 #: Rows of a block that are scored exactly for each query, and queries in a block. On 64-dimensional, almost isotropic rows in
 #: blocks of 8192, 48 rows find two thirds of the true five, 512 rows 0.96 and 1024 rows 0.99.
-RERANK, QUERY_BLOCK = 1024, 2048
+RERANK, QUERY_BLOCK = 1024, 4096
 RESULT_SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -138,7 +139,7 @@ def search_block(books: Codebooks, qids: np.ndarray, q: np.ndarray, ids: np.ndar
         approx = np.zeros((len(ids), min(128, len(q) - a)), np.float32)
         for m in range(len(tables)):
             approx += tables[m][:, a : a + 128][codes[:, m]]
-        approx = np.ascontiguousarray((approx / norms[:, None]).T)
+        approx = np.ascontiguousarray((approx / np.maximum(norms, 1e-12)[:, None]).T)  # an approximation may vanish
         for i, row in enumerate(approx):
             row[ids == qids[a + i]] = -np.inf
             if len(row) > rerank:
@@ -165,20 +166,20 @@ def search(index: DataFrame, books: Codebooks | None, queries: DataFrame, k: int
     queries = queries.where(F.size("v") == books.dim)
     blocks = max(1, -(-queries.count() // (QUERY_BLOCK // 2)))
     block = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks))
-    parts = []
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    done: list[DataFrame] = []
     for i in range(blocks):
         rows = queries.where(block == i).orderBy("vec_id").collect() if blocks > 1 else queries.orderBy("vec_id").collect()
         for a in range(0, len(rows), QUERY_BLOCK):
             some = rows[a : a + QUERY_BLOCK]
             sent = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in some], np.int64), np.array([r["v"] for r in some])))
-            parts.append(index.mapInArrow(_searcher(sent, books, k, rerank), RESULT_SCHEMA))
-    if not parts:
+            found = index.mapInArrow(_searcher(sent, books, k, rerank), RESULT_SCHEMA)
+            best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            done.append(materialize(best, "neighbours"))
+            sent.destroy()
+    if not done:
         return empty
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return spark.read.schema(done[0].schema).parquet(*[f.rsplit("/", 1)[0] for d in done for f in d.inputFiles()[:1]])
 
 
 def _searcher(sent, books: Codebooks, k: int, rerank: int):
