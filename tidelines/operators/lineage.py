@@ -236,12 +236,12 @@ def decay(lineage: DataFrame, theta: float, frame: TimeFrame) -> DataFrame:
     return joined.select("role_id", F.explode(made).alias("e")).select("role_id", "e.ts", "e.value", "e.wc")
 
 
-def irregular_roles(lineage: DataFrame, least_size: int = 20, least_known: int = 10) -> DataFrame:
-    """Roles whose gaps between changes vary by more than twice their mean; the first two entries don't count."""
+def irregular_roles(lineage: DataFrame, least_size: int = 20, least_known: int = 10, times: float = 2.0) -> DataFrame:
+    """Roles whose gaps between changes vary by more than `times` their mean; the first two entries don't count."""
     rows = lineage.withColumn("__i", F.row_number().over(by_time())).withColumn("__p", F.lag("ts").over(by_time()))
     gap = F.when(F.col("__i") > 2, F.datediff("ts", "__p"))
     s = rows.groupBy("role_id").agg(F.count(F.lit(1)).alias("size"), F.count_if(KNOWN()).alias("n_known"), F.avg(gap).alias("mean_gap"), F.stddev_pop(gap).alias("sd_gap"))
-    return s.where((F.col("size") > least_size) & (F.col("n_known") > least_known) & (F.col("sd_gap") > 2 * F.col("mean_gap")))
+    return s.where((F.col("size") > least_size) & (F.col("n_known") > least_known) & (F.col("sd_gap") > times * F.col("mean_gap")))
 
 
 def roleset_stats(lineage: DataFrame, frame: TimeFrame) -> DataFrame:

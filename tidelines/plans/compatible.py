@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..frame import TimeFrame
 from ..operators import lineage as L
+from .split_tree import compatible_by_splits
 
 WORD = 62
 
@@ -55,33 +56,9 @@ def compatible_with_transition(lineage: DataFrame, frame: TimeFrame, least_share
     return compatible_pairs(lineage, frame, least_shared).join(transition_pairs(lineage, frame), ["id1", "id2"], "left_semi")
 
 
-def compatible_any(lineage: DataFrame, frame: TimeFrame, split: date, most_pairs: int = 200_000_000) -> DataFrame:
-    """All compatible pairs, also those never known together, by a split at one date.
-
-    Roles known at the split meet those of the same value; unknown ones meet all others. That is quadratic in the unknown ones,
-    so the number of pairs is counted first and refused beyond most_pairs.
-    """
-    train = L.project(lineage, frame.start, frame.train_end)
-    changing = L.change_counts(train).where("least > 0").select("role_id")
-    roles = L.value_at(train.join(changing, "role_id", "left_semi"), split)
-    n = roles.agg(F.count_if(F.col("wc").isNotNull()).alias("u"), F.count(F.lit(1)).alias("n")).first()
-    if (n["u"] or 0) * (n["n"] or 0) > most_pairs:
-        raise ValueError("too many roles are unknown at this split date; plan_split() finds a better one")
-    unknown, known = roles.where("wc is not null").select("role_id"), roles.where("wc is null").select("role_id", F.struct("value").alias("v"))
-    ids = lambda d, n: d.withColumnRenamed("role_id", n)
-    same = ids(known, "a").join(ids(known, "b"), "v").where("a < b").select("a", "b")
-    # blocks of the unknown side meet all roles; every role goes to every block once
-    blocks = max(1, -(-n["u"] // 2000))
-    block = ids(unknown, "a").withColumn("k", F.pmod(F.xxhash64("a"), F.lit(blocks)))
-    every = lambda d: ids(d, "b").withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    mixed = block.join(every(known.select("role_id")), "k").select("a", "b")
-    wild = block.join(every(unknown), "k").where("a < b").select("a", "b")
-    pairs = same.unionByName(mixed).unionByName(wild).select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"))
-    cells = L.grid_cells(train, frame, last=frame.train_end).where("wc is null").select("role_id", "d", F.struct("value").alias("v"))
-    one = cells.select(F.col("role_id").alias("id1"), "d", F.col("v").alias("v1"))
-    two = cells.select(F.col("role_id").alias("id2"), "d", F.col("v").alias("v2"))
-    clash = pairs.join(one, "id1").join(two, ["id2", "d"]).where("v1 <> v2 or (v1.value is null) <> (v2.value is null)").select("id1", "id2").distinct()
-    return pairs.join(clash, ["id1", "id2"], "left_anti")
+def compatible_any(lineage: DataFrame, frame: TimeFrame) -> DataFrame:
+    """All compatible pairs, also those never known together."""
+    return compatible_by_splits(lineage, frame)
 
 
 def split_cost(lineage: DataFrame, frame: TimeFrame) -> DataFrame:

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from .frame import EVENTS, ORDERS, TimeFrame
 from .functions import values as V
 from .operators import blocking as B
+from .operators import groups as R
 from .operators import ingest as N
 from .operators import lineage as L
 from .operators import pairs as P
 from .operators import sampling as S
 from .plans import compatible as C
+from .plans import split_tree as ST
 from .sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,20 +134,12 @@ SELECT N.role_id, N.ts + CAST(cut AS INT), NULL, 'DE' FROM N JOIN U USING (role_
 on_orders("decay", DECAY.format(T="DATE '1999-01-03'", E="DATE '2001-08-05'", p="CAST(0.57 AS DOUBLE)", g=7), lambda h: L.decay(h, 0.57, ORDERS))
 on_events("decay_events", DECAY.format(T="DATE '2024-01-21'", E="DATE '2024-01-30'", p="CAST(0.5 AS DOUBLE)", g=1), lambda h: L.decay(h, 0.5, EVENTS))
 on_orders("irregular_roles", """, X AS (SELECT role_id, wc, CASE WHEN row_number() OVER w > 2 THEN ts - lag(ts) OVER w END AS gap FROM L WINDOW w AS (PARTITION BY role_id ORDER BY ts))
-SELECT role_id, count(*) AS size, count(*) FILTER (WHERE wc IS NULL) AS n_known, round(avg(gap), 6) AS mean_gap, round(stddev_pop(gap), 6) AS sd_gap FROM X GROUP BY 1 HAVING count(*) > 4 AND count(*) FILTER (WHERE wc IS NULL) > 2 AND stddev_pop(gap) > 0.5 * avg(gap)""", lambda h: irregular(h))
+SELECT role_id, count(*) AS size, count(*) FILTER (WHERE wc IS NULL) AS n_known, round(avg(gap), 6) AS mean_gap, round(stddev_pop(gap), 6) AS sd_gap FROM X GROUP BY 1 HAVING count(*) > 4 AND count(*) FILTER (WHERE wc IS NULL) > 2 AND stddev_pop(gap) > 0.5 * avg(gap)""", lambda h: L.irregular_roles(h, 4, 2, 0.5).withColumns({c: F.round(c, 6) for c in ("mean_gap", "sd_gap")}))
 on_events("roleset_stats", ", X AS (SELECT role_id, count(DISTINCT value) AS n FROM L WHERE ts <= DATE '2024-01-30' GROUP BY 1), Y AS (SELECT role_id, count(*) FILTER (WHERE wc IS NULL) / 21.0 AS density FROM G WHERE d <= DATE '2024-01-21' GROUP BY 1) SELECT count(*) AS n_roles, count(*) * (count(*) + 1) // 2 AS n_pairs, round(avg(n), 6) AS avg_values, round(stddev_pop(n), 6) AS sd_values, round(avg(density), 6) AS avg_density, round(stddev_pop(density), 6) AS sd_density FROM X JOIN Y USING (role_id)", lambda h: L.roleset_stats(h, EVENTS).select("n_roles", "n_pairs", *[r6(c) for c in ("avg_values", "sd_values", "avg_density", "sd_density")]))
 on_events("value_distribution", "SELECT value, n, CAST(sum(n) OVER (ORDER BY n DESC, value ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM (SELECT value, count(*) AS n FROM L WHERE wc IS NULL GROUP BY 1)", L.value_distribution, values=20)
 on_events("id_parts", "SELECT DISTINCT role_id, split_part(role_id, '||', 1) AS template, split_part(role_id, '||', 2) AS page FROM L", lambda h: h.select("role_id", V.id_part(F.col("role_id"), "template").alias("template"), V.id_part(F.col("role_id"), "page").alias("page")).distinct())
 
 
-def irregular(h: DataFrame) -> DataFrame:
-    """irregular_roles with bounds for histories as short as the orders'."""
-    w = h.withColumn("__i", F.row_number().over(L.by_time())).withColumn("__p", F.lag("ts").over(L.by_time()))
-    gap = F.when(F.col("__i") > 2, F.datediff("ts", "__p"))
-    s = w.groupBy("role_id").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("wc").isNull()).alias("n_known"), F.avg(gap).alias("mean_gap"), F.stddev_pop(gap).alias("sd_gap"))
-    return s.where("size > 4 and n_known > 2 and sd_gap > 0.5 * mean_gap").select("role_id", "size", "n_known", r6("mean_gap"), r6("sd_gap"))
-
-
 # blocking
 KEYS = {
     "em": f"SELECT role_id, string_agg(CAST(ts AS VARCHAR) || '=' || {TXT}, ';' ORDER BY ts) AS key FROM L WHERE ts < DATE '2024-01-21' GROUP BY 1",
@@ -162,7 +156,11 @@ COMPAT = "SELECT a.role_id AS id1, b.role_id AS id2, count(*) AS n_shared FROM K
 on_events("compatible_pairs", COMPAT, lambda h: C.compatible_pairs(h, EVENTS))
 on_events("compatible_pairs_3", COMPAT + " AND count(*) >= 3", lambda h: C.compatible_pairs(h, EVENTS, 3), values=20)
 on_events("compatible_pairs_transition", f", A AS ({COMPAT}), U AS (SELECT DISTINCT role_id, prev, value AS after FROM S WHERE prev IS NOT NULL AND ts <= DATE '2024-01-21') SELECT id1, id2, n_shared FROM A WHERE EXISTS (SELECT 1 FROM U a JOIN U b ON a.prev = b.prev AND a.after = b.after WHERE a.role_id = id1 AND b.role_id = id2)", lambda h: C.compatible_with_transition(h, EVENTS))
-on_events("compatible_any", ", A AS (SELECT a.role_id AS id1, b.role_id AS id2 FROM CH a JOIN CH b ON a.role_id < b.role_id) SELECT id1, id2 FROM A WHERE NOT EXISTS (SELECT 1 FROM K x JOIN K y ON x.d = y.d AND x.value <> y.value WHERE x.role_id = id1 AND y.role_id = id2)", lambda h: C.compatible_any(h, EVENTS, date(2024, 1, 11)))
+on_events("compatible_any", ", A AS (SELECT a.role_id AS id1, b.role_id AS id2 FROM CH a JOIN CH b ON a.role_id < b.role_id) SELECT id1, id2 FROM A WHERE NOT EXISTS (SELECT 1 FROM K x JOIN K y ON x.d = y.d AND x.value <> y.value WHERE x.role_id = id1 AND y.role_id = id2)", lambda h: C.compatible_any(h, EVENTS))
+ANY = ", A AS (SELECT a.role_id AS id1, b.role_id AS id2 FROM CH a JOIN CH b ON a.role_id < b.role_id) SELECT id1, id2 FROM A WHERE {which} NOT EXISTS (SELECT 1 FROM K x JOIN K y ON x.d = y.d AND x.value <> y.value WHERE x.role_id = id1 AND y.role_id = id2)"
+on_events("split_recursion", ANY.format(which=""), lambda h: ST.compatible_by_splits(h, EVENTS, leaf_pairs=50), values=20)
+on_events("split_recursion_two_lists", ANY.format(which="(substr(md5(id1), 1, 1) < '8') <> (substr(md5(id2), 1, 1) < '8') AND"), lambda h: ST.compatible_by_splits(h, EVENTS, F.substring(F.md5(F.col("role_id").cast("binary")), 1, 1) < "8", leaf_pairs=50), values=20)
+on_events("relevant_dates", "SELECT DISTINCT ts AS d FROM L WHERE ts <= DATE '2024-01-21' AND ts <> DATE '2024-01-01'", lambda h: ST.relevant_dates(h, END, (EVENTS.start,)))
 on_events("split_cost", "SELECT d, CAST(sum(n) FILTER (WHERE wc IS NOT NULL) AS BIGINT) AS n_wc, CAST(sum(n) FILTER (WHERE wc IS NULL) AS BIGINT) AS n_known, CAST(sum(n) FILTER (WHERE wc IS NOT NULL) * sum(n) + sum(n * n) FILTER (WHERE wc IS NULL) AS BIGINT) AS cost FROM (SELECT d, value, wc, count(*) AS n FROM G WHERE d <= DATE '2024-01-21' GROUP BY 1, 2, 3) GROUP BY 1", lambda h: C.split_cost(h, EVENTS))
 HALF = "(CAST(substr(md5(role_id), 1, 1) AS VARCHAR) < '8')"
 on_events("split_cost_two_lists", f", A AS (SELECT d, wc IS NOT NULL AS u, value, count(*) FILTER (WHERE {HALF}) AS l, count(*) FILTER (WHERE NOT {HALF}) AS r FROM G WHERE d <= DATE '2024-01-21' GROUP BY 1, 2, 3) SELECT d, CAST(coalesce(sum(l * r) FILTER (WHERE NOT u), 0) + coalesce(sum(l) FILTER (WHERE u), 0) * coalesce(sum(r) FILTER (WHERE NOT u), 0) + coalesce(sum(r) FILTER (WHERE u), 0) * coalesce(sum(l) FILTER (WHERE NOT u), 0) + coalesce(sum(l) FILTER (WHERE u), 0) * coalesce(sum(r) FILTER (WHERE u), 0) AS BIGINT) AS cost FROM A GROUP BY 1", lambda h: C.split_cost_two_lists(h.where(F.substring(F.md5(F.col("role_id").cast("binary")), 1, 1) < "8"), h.where(F.substring(F.md5(F.col("role_id").cast("binary")), 1, 1) >= "8"), EVENTS))
@@ -174,7 +172,9 @@ CP = """, CP AS (SELECT *, row_number() OVER (PARTITION BY id1, id2 ORDER BY f)
 """
 on_pairs("change_points", CP + "SELECT id1, id2, f AS ts, pv1 AS prev1, pw1 AS prev_w1, pv2 AS prev2, pw2 AS prev_w2, v1 AS cur1, w1 AS cur_w1, v2 AS cur2, w2 AS cur_w2, pf AS prev_ts, last AS is_last FROM CP WHERE i > 1", P.change_points)
 on_pairs("stays_valid", "SELECT id1, id2, valid FROM PV", P.stays_valid)
-on_pairs("containment", "SELECT id1, id2, valid FROM PV", lambda p, h: P.stays_valid(p, h, containment=True))
+WORDY = "CASE {v} WHEN 'k0' THEN 'a' WHEN 'k1' THEN 'a b' ELSE 'c a' END"
+W1, W2 = WORDY.format(v="v1"), WORDY.format(v="v2")
+on_pairs("containment", f"SELECT id1, id2, bool_and(w1 IS NOT NULL OR w2 IS NOT NULL OR list_has_all(string_split({W1}, ' '), string_split({W2}, ' ')) OR list_has_all(string_split({W2}, ' '), string_split({W1}, ' '))) AS valid FROM PP GROUP BY 1, 2", lambda p, h: P.stays_valid(p, h.withColumn("value", F.when(F.col("wc").isNull(), F.expr(WORDY.format(v="value")))), containment=True))
 on_pairs("merge_pair", ", M AS (SELECT id1, id2, f AS ts, CASE WHEN w1 IS NOT NULL THEN v2 ELSE v1 END AS value, CASE WHEN w1 IS NOT NULL THEN w2 END AS wc FROM PP JOIN PV USING (id1, id2) WHERE valid) SELECT id1, id2, ts, value, wc FROM (SELECT *, lag(coalesce(value, '') || '/' || coalesce(wc, '')) OVER (PARTITION BY id1, id2 ORDER BY ts) AS p FROM M) WHERE p IS NULL OR p <> coalesce(value, '') || '/' || coalesce(wc, '')", P.merge)
 ECH = """, C AS (SELECT role_id, ts, value, pw, pt, k FROM (SELECT *, lag(wc) OVER w AS pw, lag(ts) OVER w AS pt, lag(value) OVER w AS p, last_value(value IGNORE NULLS) OVER (PARTITION BY role_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k FROM L WINDOW w AS (PARTITION BY role_id ORDER BY ts)) WHERE pt IS NOT NULL AND wc IS NULL),
 E AS (SELECT id1, id2, a.ts, a.value AS c1, b.value AS c2, a.pw AS pw1, b.pw AS pw2, a.k AS k1, b.k AS k2 FROM PW JOIN C a ON a.role_id = id1 JOIN C b ON b.role_id = id2 AND a.ts = b.ts)
@@ -210,6 +210,11 @@ on_pairs("pair_stats", STATS, lambda p, h: P.pair_stats(p, h, EVENTS, with_decay
 on_pairs("class_label", ", B AS (SELECT role_id, max_by(value, ts) AS k FROM L WHERE wc IS NULL AND ts <= DATE '2024-01-21' GROUP BY 1), R AS (SELECT DISTINCT role_id FROM L JOIN B USING (role_id) WHERE ts >= DATE '2024-01-21' AND wc IS NULL AND value <> k), BASE AS (SELECT role_id, ts AS valid_from, coalesce(lead(ts) OVER (PARTITION BY role_id ORDER BY ts), DATE '2024-01-31') AS valid_to, value, wc FROM L WHERE wc IS NULL OR wc <> 'DE'), XG AS (SELECT role_id, CAST(unnest(generate_series(valid_from, valid_to - 1, INTERVAL 1 DAY)) AS DATE) AS d, value, wc FROM BASE), M AS (SELECT id1, id2, bool_and(a.value IS NOT DISTINCT FROM b.value AND a.wc IS NOT DISTINCT FROM b.wc) AS same FROM PW JOIN XG a ON a.role_id = id1 JOIN XG b ON b.role_id = id2 AND a.d = b.d WHERE a.d > DATE '2024-01-21' GROUP BY 1, 2) SELECT id1, id2, CAST(coalesce(CASE WHEN id1 IN (SELECT role_id FROM R) OR id2 IN (SELECT role_id FROM R) THEN CAST(same AS INT) END, -1) AS INT) AS label FROM PW LEFT JOIN M USING (id1, id2)", lambda p, h: P.class_label(p, h, EVENTS).withColumn("label", F.coalesce(F.col("label").cast("int"), F.lit(-1))))
 on_pairs("decay_score", None, lambda p, h: P.decay_score(p, h, EVENTS))
 
+on_pairs("lineage_count", "SELECT count(*) AS n FROM PW", lambda p, h: R.lineage_count(p))
+on_pairs("gold_ids", "SELECT id1 AS role_id FROM PW UNION SELECT id2 FROM PW", lambda p, h: R.gold_ids(p, p))
+on_pairs("event_table", f"SELECT id1, id2, f AS ts, CASE WHEN w1 IS NOT NULL THEN '⊥' || w1 ELSE v1 END || ' | ' || CASE WHEN w2 IS NOT NULL THEN '⊥' || w2 ELSE v2 END || CASE WHEN w1 IS NOT NULL OR w2 IS NOT NULL OR v1 = v2 THEN '' ELSE ' (!)' END AS event FROM PP", R.event_table)
+on_pairs("drawable_pairs", ECH + ", NC AS (SELECT id1, id2, count(*) AS n_common FROM PW JOIN (SELECT role_id, ts, lag(ts) OVER (PARTITION BY role_id ORDER BY ts) AS p FROM L) a ON a.role_id = id1 JOIN (SELECT role_id, ts, lag(ts) OVER (PARTITION BY role_id ORDER BY ts) AS p FROM L) b ON b.role_id = id2 AND a.ts = b.ts WHERE a.p IS NOT NULL AND b.p IS NOT NULL GROUP BY 1, 2) SELECT id1, id2, CAST(n AS BIGINT) AS evidence, n_common FROM PV JOIN (SELECT id1, id2, count(*) AS n FROM E WHERE pw1 IS NULL AND pw2 IS NULL GROUP BY 1, 2) USING (id1, id2) JOIN NC USING (id1, id2) WHERE valid AND n > 1 AND n_common > 1", R.drawable)
+
 # sampling, export, stress
 on_events("timestamp_blocks", "SELECT d, value, n, n * (n - 1) // 2 AS n_pairs, CAST(sum(n * (n - 1) // 2) OVER (ORDER BY d, value) AS BIGINT) AS cum_pairs FROM (SELECT d, value, count(*) AS n FROM G WHERE wc IS NULL AND d <= DATE '2024-01-21' GROUP BY 1, 2 HAVING count(*) > 1)", lambda h: S.timestamp_blocks(h, EVENTS), values=20)
 on_pairs("block_weights", "SELECT id1, id2, weight FROM PW", lambda p, h: p)
