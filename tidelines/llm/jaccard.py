@@ -7,10 +7,10 @@ frequent ones. Classes that meet under a key are candidates if their sizes and p
 bounds, so no link is lost), and an exact count on the whole texts decides.
 
 For components the links of large groups aren't all looked at. A first round meets the members of a key in tiles of bounded
-size, and samples of the tiles in one more, and verifies the closest earlier partner of each class. The connected parts are
-then known, and a second round verifies every remaining candidate between different parts, in tiles that pair the members
-outside a key's largest part with all others. The parts are then exactly the components of all links. join_links() verifies
-every candidate instead, and returns all links between different sets.
+size, and samples of the tiles in one more, and verifies all candidates of small tiles and each member's closest earlier one in
+others. The connected parts are then known. A second round does the same in tiles that pair the members outside a key's largest
+part with all others, and a third verifies every candidate that is still between different parts. The parts are then exactly
+the components of all links. join_links() verifies every candidate instead, and returns all links between different sets.
 
 Sets are never gathered by group. Shingles and classes are 64-bit hashes.
 
@@ -75,8 +75,8 @@ def class_of(s: np.ndarray) -> int | None:
 
 
 def sketch_bits(n: int) -> int:
-    """Places of a sketch: a power of two, at least half as many as tokens, so that it tells large sets apart as well as small ones."""
-    return max(64, 1 << ((n - 1) // 2).bit_length())
+    """Places of a sketch: a power of two, at least as many as tokens, so that it tells large sets apart as well as small ones."""
+    return max(512, 1 << (n - 1).bit_length())
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -541,6 +541,10 @@ def _named(x: Indexed, parts: DataFrame, id_col: str, more: DataFrame | None = N
     return materialize(own.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(some, F.coalesce("class_id", "id")).alias("class_id"), F.when(some, F.coalesce("component_id", "id")).alias("component_id"), *extra), "components")
 
 
+def _pairs_of(found: DataFrame) -> DataFrame:
+    return found.where("later is not null").select(F.col("later").alias("a"), F.col("earlier").alias("b")).distinct()
+
+
 def join_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id, component_id of every row of docs.
 
@@ -551,23 +555,27 @@ def join_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
     reps, sketches = x.classes.select("cls", "id"), x.classes.select("cls", "sketch")
     check = lambda pairs: verified(pairs, docs, reps, width, num, den, id_col, text_col)
     first = materialize(candidates(first_tiles(x.members, num, den), sketches, num, den, closest=True), "pairs")
-    pairs = first.where("later is not null")
-    closest = materialize(pairs.groupBy("later").agg(F.min_by("earlier", F.struct("share", "earlier")).alias("earlier")), "closest")
-    links = check(closest.select(F.col("later").alias("a"), F.col("earlier").alias("b")))
+    seen = [first]
+    links = check(_pairs_of(first))
     parts = connected(links.select("a", "b").unionByName(x.twice))
-    # what may still connect: other candidates, and members of large or cut keys that haven't met, of different parts
-    at = lambda c: parts.select(F.col("cls").alias(c), F.col("part").alias(f"{c}_part"))
-    apart = pairs.select("later", "earlier").distinct().join(closest, ["later", "earlier"], "left_anti").join(at("later"), "later", "left").join(at("earlier"), "earlier", "left")
-    apart = apart.where(F.coalesce("later_part", "later") != F.coalesce("earlier_part", "earlier")).select("later", "earlier")
+    # members of large or cut keys that haven't met, of different parts: the closest ones again, then all that are still apart
     keys = first.where("key is not null").select("key").unionByName(x.members.where("g > 1").select("key")).distinct()
-    tiles = cross_tiles(x.members.join(keys, "key", "left_semi"), parts)
-    more = materialize(candidates(tiles, sketches, num, den, closest=False).select("later", "earlier").unionByName(apart).distinct(), "pairs")
-    if not more.isEmpty():
-        again, before = check(more.select(F.col("later").alias("a"), F.col("earlier").alias("b"))), parts
-        parts = connected(before.select(F.col("cls").alias("a"), F.col("part").alias("b")).unionByName(again.select("a", "b")))
-        release(again, before)
+    for closest in (True, False):
+        tiles = cross_tiles(x.members.join(keys, "key", "left_semi"), parts)
+        found = materialize(candidates(tiles, sketches, num, den, closest), "pairs")
+        seen.append(found)
+        new = _pairs_of(found)
+        for known in seen[:-1]:
+            new = new.join(_pairs_of(known), ["a", "b"], "left_anti")
+        keys = found.where("key is not null").select("key").distinct()
+        if not new.isEmpty():
+            again, before = check(new), parts
+            parts = connected(before.select(F.col("cls").alias("a"), F.col("part").alias("b")).unionByName(again.select("a", "b")))
+            release(again, before)
+        if keys.isEmpty():
+            break
     out = _named(x, parts, id_col)
-    release(first, closest, links, more, parts, x.documents, x.classes, x.members)
+    release(*seen, links, parts, x.documents, x.classes, x.members)
     return out
 
 
