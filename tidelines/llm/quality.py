@@ -43,7 +43,10 @@ def shape(word: str) -> str:
 
 def words_of(text: str) -> list[str]:
     """Words, those without an end cut into pieces, so that texts without spaces count whole."""
-    return [w[i : i + LONGEST] for w in text.split() for i in range(0, len(w), LONGEST)] if len(text) > LONGEST else text.split()
+    words = text.split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
 
 
 def facts(text: str, shapes: dict[str, str]) -> dict:
