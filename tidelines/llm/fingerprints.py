@@ -33,21 +33,59 @@ UNIT = f"[^{LAST}]++[{LAST}]?+|[{LAST}]"
 ANCHORS = "array<struct<at:int,h:bigint>>"
 
 
-def with_anchors(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
-    """df with out_col: array<struct<at, h>> of the anchors of a text, in order of position."""
-    u, s = "__tl_u", "__tl_s"
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = df.withColumn(u, F.transform(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), lambda w: F.xxhash64(w)))
-    n = F.size(u)
-    out = out.withColumn(s, F.when(n >= K, F.zip_with(F.slice(u, F.lit(1), n - 1), F.slice(u, F.lit(2), n - 1), lambda a, b: F.xxhash64(a, b))))
+def units(text: Column) -> Column:
+    """array<string>: the units of a text, which joined give it back."""
+    return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
+
+
+def hashes(of: Column) -> Column:
+    return F.transform(of, lambda w: F.xxhash64(w))
+
+
+def with_chosen(df: DataFrame, unit_hashes: str, out_col: str) -> DataFrame:
+    """df with out_col: array<struct<at, h>> of the chosen k-mers of an array of unit hashes, in order of position."""
+    s = "__tl_s"
+    u, n = F.col(unit_hashes), F.size(unit_hashes)
+    out = df.withColumn(s, F.when(n >= K, F.zip_with(F.slice(u, F.lit(1), n - 1), F.slice(u, F.lit(2), n - 1), lambda a, b: F.xxhash64(a, b))))
     # position i is chosen if min(s[i], s[i + K - 2]) <= min(s[i + 1 .. i + K - 3]); the k-mer's hash joins its inner hashes
     at = lambda i, d: F.get(F.col(s), i + d)
     chosen = lambda i: F.least(at(i, 0), at(i, K - 2)) <= F.least(*[at(i, d) for d in range(1, K - 2)])
-    kmer = lambda i: F.struct(i.alias("at"), F.shiftrightunsigned(F.xxhash64(*[at(i, d) for d in range(0, K - 1, 2)], F.get(F.col(u), i + K - 1)), 32).alias("h"))
-    whole = F.when(n > 0, F.array(F.struct(F.lit(0).alias("at"), F.shiftrightunsigned(F.xxhash64(F.col(u)), 32).alias("h")))).otherwise(F.array().cast(ANCHORS))
+    kmer = lambda i: F.struct(i.alias("at"), F.shiftrightunsigned(F.xxhash64(*[at(i, d) for d in range(0, K - 1, 2)], F.get(u, i + K - 1)), 32).alias("h"))
     found = F.when(n >= K, F.transform(F.filter(F.sequence(F.lit(0), n - K), chosen), kmer)).otherwise(F.array().cast(ANCHORS))
-    out = out.withColumn("__tl_f", found)
-    return out.withColumn(out_col, F.when(F.size("__tl_f") > 0, F.col("__tl_f")).otherwise(whole)).drop(u, s, "__tl_f")
+    return out.withColumn(out_col, found).drop(s)
+
+
+def or_whole(chosen: Column, unit_hashes: Column) -> Column:
+    """The chosen k-mers, or where there are none, one anchor for the whole text."""
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.shiftrightunsigned(F.xxhash64(unit_hashes), 32).alias("h")))
+    return F.when(F.size(chosen) > 0, chosen).when(F.size(unit_hashes) > 0, whole).otherwise(F.array().cast(ANCHORS))
+
+
+def with_anchors(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
+    """df with out_col: array<struct<at, h>> of the anchors of a text, in order of position."""
+    out = df.withColumn("__tl_u", hashes(units(F.coalesce(F.col(text_col), F.lit("")))))
+    out = with_chosen(out, "__tl_u", "__tl_f")
+    return out.withColumn(out_col, or_whole(F.col("__tl_f"), F.col("__tl_u"))).drop("__tl_u", "__tl_f")
+
+
+def with_both_anchors(df: DataFrame, kept: str, rest: str, taken: str) -> DataFrame:
+    """df with anchors, of kept + rest, and edited_anchors, of kept + taken.
+
+    All units of the kept part but its last are those of both texts, and the k-mers inside them are looked at once.
+    """
+    out = df.withColumn("__tl_k", units(F.col(kept)))
+    last = F.coalesce(F.get("__tl_k", F.size("__tl_k") - 1), F.lit(""))
+    out = out.withColumn("__tl_h", hashes(F.slice("__tl_k", F.lit(1), F.greatest(F.size("__tl_k") - 1, F.lit(0)))))
+    out = out.withColumn("__tl_u", F.concat("__tl_h", hashes(units(F.concat(last, F.col(rest))))))
+    # the first k-mer that reaches beyond the common units
+    out = out.withColumn("__tl_first", F.greatest(F.size("__tl_h") - (K - 1), F.lit(0)))
+    out = out.withColumn("__tl_t", F.concat(F.slice("__tl_h", F.col("__tl_first") + 1, F.lit(K - 1)), hashes(units(F.concat(last, F.col(taken))))))
+    out = with_chosen(with_chosen(out, "__tl_u", "__tl_f"), "__tl_t", "__tl_g")
+    moved = F.transform("__tl_g", lambda x: F.struct((x["at"] + F.col("__tl_first")).alias("at"), x["h"].alias("h")))
+    out = out.withColumn("__tl_e", F.concat(F.filter("__tl_f", lambda x: x["at"] < F.col("__tl_first")), moved))
+    edited_units = F.concat(F.slice("__tl_h", F.lit(1), F.col("__tl_first")), F.col("__tl_t"))
+    out = out.withColumn("anchors", or_whole(F.col("__tl_f"), F.col("__tl_u"))).withColumn("edited_anchors", or_whole(F.col("__tl_e"), edited_units))
+    return out.drop("__tl_k", "__tl_h", "__tl_u", "__tl_first", "__tl_t", "__tl_f", "__tl_g", "__tl_e")
 
 
 def placed(anchors: Column) -> Column:
@@ -105,8 +143,8 @@ def compare(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text") ->
     sent = with_anchors(sent, "text", "next_anchors").select(F.col("bk").alias("k"), F.col("bh").alias("h"), F.col("text").substr(F.lit(1), F.floor(F.col("bn") / 4).cast("int")).alias("taken"), placed(F.col("next_anchors")).alias("next_placed"))
     pairs = rows.join(sent.hint("shuffle_merge"), ["k", "h"]).withColumn("n", F.length("text"))
     kept = F.col("n") - F.floor(F.col("n") / 4).cast("int")
-    pairs = pairs.withColumn("edited", F.concat(F.col("text").substr(F.lit(1), kept), F.col("taken")))
-    pairs = with_anchors(with_anchors(pairs, "text", "anchors"), "edited", "edited_anchors")
+    pairs = pairs.withColumn("kept", F.col("text").substr(F.lit(1), kept)).withColumn("rest", F.col("text").substr(kept + 1, F.col("n")))
+    pairs = with_both_anchors(pairs, "kept", "rest", "taken").withColumn("edited", F.concat("kept", "taken"))
     pairs = pairs.withColumn("placed", placed(F.col("anchors"))).withColumn("edited_placed", placed(F.col("edited_anchors")))
     return pairs.select(
         "doc_id", F.col("n").cast("bigint").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), as_string(F.col("anchors")).alias("fingerprint"), as_string(F.col("edited_anchors")).alias("edited_fingerprint"),
