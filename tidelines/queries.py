@@ -208,7 +208,18 @@ FROM AG LEFT JOIN Zem e1 ON e1.role_id = id1 LEFT JOIN Zem e2 ON e2.role_id = id
 """
 on_pairs("pair_stats", STATS, lambda p, h: P.pair_stats(p, h, EVENTS, with_decay_score=False).drop("dataset", "in_tsm_wildcard_blocking").withColumns({c: F.round(c, 6) for c in ("compatibility_share", "strict_share", "exact_match_share")}))
 on_pairs("class_label", ", B AS (SELECT role_id, max_by(value, ts) AS k FROM L WHERE wc IS NULL AND ts <= DATE '2024-01-21' GROUP BY 1), R AS (SELECT DISTINCT role_id FROM L JOIN B USING (role_id) WHERE ts >= DATE '2024-01-21' AND wc IS NULL AND value <> k), BASE AS (SELECT role_id, ts AS valid_from, coalesce(lead(ts) OVER (PARTITION BY role_id ORDER BY ts), DATE '2024-01-31') AS valid_to, value, wc FROM L WHERE wc IS NULL OR wc <> 'DE'), XG AS (SELECT role_id, CAST(unnest(generate_series(valid_from, valid_to - 1, INTERVAL 1 DAY)) AS DATE) AS d, value, wc FROM BASE), M AS (SELECT id1, id2, bool_and(a.value IS NOT DISTINCT FROM b.value AND a.wc IS NOT DISTINCT FROM b.wc) AS same FROM PW JOIN XG a ON a.role_id = id1 JOIN XG b ON b.role_id = id2 AND a.d = b.d WHERE a.d > DATE '2024-01-21' GROUP BY 1, 2) SELECT id1, id2, CAST(coalesce(CASE WHEN id1 IN (SELECT role_id FROM R) OR id2 IN (SELECT role_id FROM R) THEN CAST(same AS INT) END, -1) AS INT) AS label FROM PW LEFT JOIN M USING (id1, id2)", lambda p, h: P.class_label(p, h, EVENTS).withColumn("label", F.coalesce(F.col("label").cast("int"), F.lit(-1))))
-on_pairs("decay_score", None, lambda p, h: P.decay_score(p, h, EVENTS))
+DS = """, RW AS (SELECT role_id, ts, value, wc, lead(ts) OVER (PARTITION BY role_id ORDER BY ts) AS nx FROM L),
+DU AS (SELECT role_id, coalesce(list_sort(list(nx - ts) FILTER (WHERE nx <= DATE '2024-01-21')), []) AS ds FROM RW GROUP BY 1),
+TH AS (SELECT round(1 - i * CAST(0.005 AS DOUBLE), 6) AS theta FROM range(0, 201) x(i)),
+CU AS (SELECT role_id, theta, CASE WHEN theta >= 1 OR len(ds) = 0 THEN 100000 WHEN ceil(len(ds) * theta) < 1 THEN 1 ELSE ds[CAST(ceil(len(ds) * theta) AS INT)] END AS cut FROM DU, TH),
+KN AS (SELECT role_id, ts AS f, coalesce(nx, DATE '2024-01-30') AS t, value FROM RW WHERE wc IS NULL),
+CL AS (SELECT id1, id2, a.f AS fa, a.t AS ta, b.f AS fb, b.t AS tb FROM PW JOIN KN a ON a.role_id = id1 JOIN KN b ON b.role_id = id2 AND a.f < b.t AND b.f < a.t AND a.value IS DISTINCT FROM b.value),
+OK AS (SELECT id1, id2, x.theta FROM CL JOIN CU x ON x.role_id = id1 JOIN CU y ON y.role_id = id2 AND y.theta = x.theta GROUP BY ALL
+       HAVING bool_and(fa + CAST(least(ta - fa, x.cut) AS INT) <= fb OR fb + CAST(least(tb - fb, y.cut) AS INT) <= fa)),
+BE AS (SELECT id1, id2, max(theta) AS best FROM OK GROUP BY 1, 2)
+SELECT PW.id1, PW.id2, CASE WHEN BE.best IS NOT NULL THEN BE.best WHEN EXISTS (SELECT 1 FROM CL WHERE CL.id1 = PW.id1 AND CL.id2 = PW.id2) THEN -1 ELSE 1 END AS decay_score
+FROM PW LEFT JOIN BE ON BE.id1 = PW.id1 AND BE.id2 = PW.id2"""
+on_pairs("decay_score", DS, lambda p, h: P.decay_score(p, h, EVENTS))
 
 on_pairs("lineage_count", "SELECT count(*) AS n FROM PW", lambda p, h: R.lineage_count(p))
 on_pairs("gold_ids", "SELECT id1 AS role_id FROM PW UNION SELECT id2 FROM PW", lambda p, h: R.gold_ids(p, p))
@@ -230,7 +241,14 @@ on_events("ml_record", FT + "SELECT role_id, string_agg('COL ' || CAST(ts AS VAR
 on_events("missing_changes", f""", A AS (SELECT *, wc IS NULL AND ts < DATE '2024-01-21' AS hit FROM L), B AS (SELECT *, row_number() OVER (PARTITION BY role_id, hit ORDER BY md5(role_id || '|' || CAST(ts AS VARCHAR) || '|13')) AS i, count(*) FILTER (WHERE hit) OVER (PARTITION BY role_id) AS n FROM A),
 D AS (SELECT role_id, ts, CASE WHEN hit AND i <= floor(n * 0.3) THEN NULL ELSE value END AS value, CASE WHEN hit AND i <= floor(n * 0.3) THEN 'DE' ELSE wc END AS wc FROM B)
 SELECT role_id, ts, value, wc FROM (SELECT *, {TXT} AS s, lag({TXT}) OVER (PARTITION BY role_id ORDER BY ts) AS p FROM D) WHERE p IS NULL OR p <> s""", lambda h: S.inject_missing_changes(h, 0.3, END))
-on_orders("missing_days", None, lambda h: S.inject_missing_days(h, ORDERS, 0.3))
+MD = f""", I AS (SELECT role_id, ts, coalesce(lead(ts) OVER (PARTITION BY role_id ORDER BY ts), DATE '2001-08-12') AS e, value, wc FROM L),
+G AS (SELECT role_id, ts, CAST(unnest(generate_series(ts, e - 1, INTERVAL 7 DAY)) AS DATE) AS d, value, wc FROM I),
+A AS (SELECT *, wc IS NULL AND d <> ts AND d <= DATE '1999-01-03' AS free FROM G WHERE d <= DATE '2001-08-05'),
+B AS (SELECT *, row_number() OVER (PARTITION BY role_id, free ORDER BY md5(role_id || '|' || CAST(d AS VARCHAR) || '|13')) AS i,
+             floor(count(*) FILTER (WHERE d <= DATE '1999-01-03') OVER (PARTITION BY role_id) * CAST(0.3 AS DOUBLE)) - count(*) FILTER (WHERE wc IS NOT NULL AND d <= DATE '1999-01-03') OVER (PARTITION BY role_id) AS n FROM A),
+D AS (SELECT role_id, d AS ts, CASE WHEN free AND i <= n THEN NULL ELSE value END AS value, CASE WHEN free AND i <= n THEN 'DE' ELSE wc END AS wc FROM B)
+SELECT role_id, ts, value, wc FROM (SELECT *, {TXT} AS s, lag({TXT}) OVER (PARTITION BY role_id ORDER BY ts) AS p FROM D) WHERE p IS NULL OR p <> s"""
+on_orders("missing_days", MD, lambda h: S.inject_missing_days(h, ORDERS, 0.3))
 on_events("subsample", "SELECT role_id, ts, value, wc FROM L WHERE role_id IN (SELECT role_id FROM (SELECT DISTINCT role_id FROM L) ORDER BY md5(role_id || '|12'), role_id LIMIT (SELECT CAST(floor(count(DISTINCT role_id) * 0.5) AS INT) FROM L))", lambda h: S.subsample_roles(h, 0.5))
 on_events("synthetic_roles", None, lambda h: S.synthetic_roles(h, 500), values=20)
 on_events("value_transitions_all", "SELECT DISTINCT role_id, prev, value AS after FROM S WHERE prev IS NOT NULL", lambda h: L.transitions(h, include_same=True))
@@ -259,8 +277,27 @@ on_revisions("revision_integrity", "SELECT count(*) AS n_revisions, count(DISTIN
 on_revisions("ingest_replay", RV + "SELECT key, property, f AS from_ts, value, wc FROM p", lambda r: N.replay(r, WEEKLY))
 on_revisions("ingest_bucket_majority", RV + "SELECT role_id, ts, value, wc FROM bm", lambda r: N.bucket_majority(N.replay(r, WEEKLY), WEEKLY))
 on_revisions("ingest_no_decay", RV + "SELECT role_id, ts, value, wc FROM nd WHERE role_id IN (SELECT role_id FROM nd WHERE wc IS NULL)", lambda r: N.no_decay(r, WEEKLY))
-for _mode in N.MODES[1:]:
-    on_revisions(f"ingest_{_mode}", None, lambda r, m=_mode: N.ingest(r, WEEKLY, m))
+KEPT = RV.rstrip() + """,
+nk AS (SELECT role_id, ts, value, wc, coalesce(value, '⊥' || wc) AS s FROM nd WHERE role_id IN (SELECT role_id FROM nd WHERE wc IS NULL)),
+"""
+JOINED = "SELECT role_id, ts, value, wc FROM (SELECT *, coalesce(value, '⊥' || wc) AS x, lag(coalesce(value, '⊥' || wc)) OVER (PARTITION BY role_id ORDER BY ts) AS q FROM al) WHERE q IS NULL OR q <> x"
+GAPS = KEPT + """iv AS (SELECT role_id, ts AS a, coalesce(lead(ts) OVER (PARTITION BY role_id ORDER BY ts), greatest(DATE '2024-01-29', ts)) AS b, value, wc, s FROM nk),
+cf AS (SELECT x.key || '||' || property AS role_id, ts FROM (SELECT DISTINCT key, property FROM r) x JOIN (SELECT DISTINCT key, DATE '2024-01-01' + CAST(((CAST(valid_from AS DATE) - DATE '2024-01-01') // 7) * 7 AS INT) AS ts FROM r) y USING (key)),
+pt AS (SELECT role_id, cf.ts, value, wc, s FROM cf JOIN iv USING (role_id) WHERE cf.ts >= a AND (cf.ts < b OR a = b) UNION SELECT role_id, ts, value, wc, s FROM nk),
+sp AS (SELECT *, lead(ts) OVER w AS nt, lead(s) OVER w AS ns FROM pt WINDOW w AS (PARTITION BY role_id ORDER BY ts)),
+al AS (SELECT role_id, ts, value, wc FROM sp UNION ALL
+       SELECT role_id, ts + {wait}, NULL, 'DE' FROM sp WHERE wc IS NULL AND (nt IS NULL OR ts + {wait} < nt) AND {also} AND ts + {wait} <= DATE '2024-01-29')
+""" + JOINED
+QUANTILE = KEPT + """rw AS (SELECT *, lead(ts) OVER w AS nx, row_number() OVER w AS n FROM nk WINDOW w AS (PARTITION BY role_id ORDER BY ts)),
+ct AS (SELECT role_id, max(ts) AS last, list_sort(list(nx - ts) FILTER (WHERE n > 1 AND nx <= DATE '2024-01-22')) AS ds FROM rw GROUP BY 1 HAVING count(*) > 1),
+al AS (SELECT role_id, ts, value, wc FROM rw JOIN ct USING (role_id) UNION ALL
+       SELECT role_id, ts + cut, NULL, 'DE' FROM (SELECT *, CAST(ds[greatest(1, CAST(ceil(len(ds) * CAST(0.57 AS DOUBLE)) AS INT))] AS INT) AS cut FROM rw JOIN ct USING (role_id)) WHERE wc IS NULL AND coalesce(nx, last) - ts > cut)
+""" + JOINED
+on_revisions("ingest_between_changes", GAPS.format(wait=7, also="(ns IS NULL OR ns <> s)"), lambda r: N.ingest(r, WEEKLY, "between_changes"))
+on_revisions("ingest_between_all_confirmations", GAPS.format(wait=7, also="true"), lambda r: N.ingest(r, WEEKLY, "between_all_confirmations"))
+on_revisions("ingest_outside_grace", GAPS.format(wait=28, also="true"), lambda r: N.ingest(r, WEEKLY, "outside_grace"))
+on_revisions("ingest_outside_short_grace", GAPS.format(wait=10, also="true"), lambda r: N.with_gaps(r, WEEKLY, "outside_grace", 10))
+on_revisions("ingest_probabilistic", QUANTILE, lambda r: N.ingest(r, WEEKLY, "probabilistic"))
 on_revisions("template_counts", "SELECT event_type AS template, count(*) AS n FROM events GROUP BY 1", lambda r: N.template_counts(r.withColumnRenamed("property", "template")))
 on_revisions("confirmations", "SELECT DISTINCT a.key || '||' || property AS role_id, ts FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key, event_type AS property FROM events) a JOIN (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key, DATE '2024-01-01' + CAST(((CAST(ts AS DATE) - DATE '2024-01-01') // 7) * 7 AS INT) AS ts FROM events) b USING (key)", lambda r: N.confirmations(r, WEEKLY))
 
