@@ -7,7 +7,7 @@ import pytest
 from tidelines.queries import EV3, ORACLE_SQL, QUERIES
 
 D = "/root/testdata/sf0.001"
-NAMES = ["histories", "decay", "transition_set", "change_counts", "block_counts", "compatible_pairs", "compatible_pairs_transition", "evidence", "pair_stats", "class_label", "ingest_no_decay", "feature_table", "weighted_sample", "irregular_roles", "containment", "compatible_any", "split_recursion", "split_recursion_two_lists", "relevant_dates", "lineage_count", "gold_ids", "event_table", "drawable_pairs", "decay_score", "missing_days", "ingest_between_changes", "ingest_between_all_confirmations", "ingest_outside_grace", "ingest_outside_short_grace", "ingest_probabilistic"]
+NAMES = ["histories", "decay", "transition_set", "change_counts", "block_counts", "compatible_pairs", "compatible_pairs_transition", "evidence", "pair_stats", "class_label", "ingest_no_decay", "feature_table", "weighted_sample", "irregular_roles", "containment", "compatible_any", "split_recursion", "split_recursion_two_lists", "relevant_dates", "lineage_count", "gold_ids", "event_table", "drawable_pairs", "decay_score", "missing_days", "synthetic_roles", "value_distribution", "ingest_between_changes", "ingest_between_all_confirmations", "ingest_outside_grace", "ingest_outside_short_grace", "ingest_probabilistic"]
 
 
 def plain(df):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..frame import TimeFrame
 from ..functions.values import informative, same_raw, shown
+from .order import running_sum
 
 
 def by_time():
@@ -255,5 +256,4 @@ def roleset_stats(lineage: DataFrame, frame: TimeFrame) -> DataFrame:
 def value_distribution(lineage: DataFrame) -> DataFrame:
     """value, n, upto: entries by known value, with the running count in falling order of frequency."""
     n = lineage.where(KNOWN()).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy(F.col("n").desc(), "value").rowsBetween(Window.unboundedPreceding, 0)
-    return n.select("value", "n", F.sum("n").over(order).alias("upto"))
+    return running_sum(n, [F.col("n").desc(), F.col("value")], F.col("n"), "upto")

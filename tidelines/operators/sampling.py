@@ -11,6 +11,7 @@ from ..frame import TimeFrame
 from ..functions.values import csv_safe, informative, ml_safe, shown
 from . import lineage as L
 from . import pairs as P
+from .order import position
 
 
 def order_by_hash(*ids: str, seed: str = "13") -> Column:
@@ -134,17 +135,20 @@ def synthetic_roles(lineage: DataFrame, n: int, seed: str = "12") -> DataFrame:
     distribution at a hash, going on to the next free value where two draws collide.
     """
     roles = lineage.select("role_id").distinct()
-    ranked = roles.select("role_id", (F.row_number().over(Window.orderBy(order_by_hash("role_id", seed=seed), "role_id")) - 1).alias("r"))
+    ranked = position(roles, [order_by_hash("role_id", seed=seed), F.col("role_id")], "r")
     m = max(1, roles.count())
     clones = lineage.sparkSession.range(n).select(F.col("id").alias("i"), (F.col("id") % m).alias("r")).join(ranked, "r").select("i", "role_id")
     rows = clones.join(lineage, "role_id").select(F.concat_ws("_", "role_id", F.col("i").cast("string")).alias("role_id"), "ts", "value", "wc")
     dist = L.value_distribution(lineage)
-    total = dist.agg(F.max("upto").alias("t"))
+    # ranges of the distribution meet draws in buckets, about as many as there are values
+    total = dist.agg(F.max("upto").alias("t"), F.ceil(F.max("upto") / F.count(F.lit(1))).alias("width"))
     old = rows.where("wc is null").select("role_id", "value").distinct().join(F.broadcast(total))  # total is one row
     u = F.conv(F.substring(order_by_hash("role_id", "value", seed=seed), 1, 12), 16, 10).cast("double") / float(1 << 48)
     drawn = old.withColumn("x", F.floor(u * F.col("t")) + 1)
-    ranges = dist.select(F.col("value").alias("new"), (F.col("upto") - F.col("n")).alias("lo"), F.col("upto").alias("hi"))
-    found = drawn.join(ranges, (F.col("x") > F.col("lo")) & (F.col("x") <= F.col("hi")))
+    drawn = drawn.withColumn("bucket", F.floor((F.col("x") - 1) / F.col("width")))
+    ranges = dist.join(F.broadcast(total)).select(F.col("value").alias("new"), (F.col("upto") - F.col("n")).alias("lo"), F.col("upto").alias("hi"), "width")
+    ranges = ranges.select("new", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / F.col("width")), F.floor((F.col("hi") - 1) / F.col("width")))).alias("bucket"))
+    found = drawn.join(ranges, "bucket").where((F.col("x") > F.col("lo")) & (F.col("x") <= F.col("hi")))
     nth = F.row_number().over(Window.partitionBy("role_id", "new").orderBy("value"))
     named = found.withColumn("nth", nth).select(F.col("role_id").alias("__r"), F.col("value").alias("__v"), F.when(F.col("nth") == 1, F.col("new")).otherwise(F.concat_ws("#", "new", F.col("nth").cast("string"))).alias("new"))
     out = rows.join(named, (F.col("role_id") == F.col("__r")) & F.col("value").eqNullSafe(F.col("__v")), "left")

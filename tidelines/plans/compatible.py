@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..frame import TimeFrame
 from ..operators import lineage as L
+from ..operators.order import position
 from .split_tree import compatible_by_splits
 
 WORD = 62
@@ -114,4 +115,4 @@ def expand_groups(groups: DataFrame) -> DataFrame:
 
 def tiled(roles: DataFrame, width: int) -> DataFrame:
     """role_id, tile: index intervals of fixed width of the id-sorted roles."""
-    return roles.select("role_id", F.floor((F.row_number().over(Window.orderBy("role_id")) - 1) / width).cast("int").alias("tile"))
+    return position(roles, [F.col("role_id")], "at").select("role_id", F.floor(F.col("at") / width).cast("int").alias("tile"))

@@ -250,7 +250,13 @@ D AS (SELECT role_id, d AS ts, CASE WHEN free AND i <= n THEN NULL ELSE value EN
 SELECT role_id, ts, value, wc FROM (SELECT *, {TXT} AS s, lag({TXT}) OVER (PARTITION BY role_id ORDER BY ts) AS p FROM D) WHERE p IS NULL OR p <> s"""
 on_orders("missing_days", MD, lambda h: S.inject_missing_days(h, ORDERS, 0.3))
 on_events("subsample", "SELECT role_id, ts, value, wc FROM L WHERE role_id IN (SELECT role_id FROM (SELECT DISTINCT role_id FROM L) ORDER BY md5(role_id || '|12'), role_id LIMIT (SELECT CAST(floor(count(DISTINCT role_id) * 0.5) AS INT) FROM L))", lambda h: S.subsample_roles(h, 0.5))
-on_events("synthetic_roles", None, lambda h: S.synthetic_roles(h, 500), values=20)
+SY = """, RO AS (SELECT role_id, row_number() OVER (ORDER BY md5(role_id || '|12'), role_id) - 1 AS r, count(*) OVER () AS m FROM (SELECT DISTINCT role_id FROM L)),
+CO AS (SELECT RO.role_id || '_' || i AS role_id, ts, value, wc FROM range(0, 500) x(i) JOIN RO ON i % m = r JOIN L ON L.role_id = RO.role_id),
+DI AS (SELECT value AS new, sum(n) OVER (ORDER BY n DESC, value ROWS UNBOUNDED PRECEDING) AS hi, n FROM (SELECT value, count(*) AS n FROM L WHERE wc IS NULL GROUP BY 1)),
+DR AS (SELECT role_id, value, floor(CAST('0x' || substr(md5(role_id || '|' || value || '|12'), 1, 12) AS BIGINT) / CAST(281474976710656 AS DOUBLE) * (SELECT max(hi) FROM DI)) + 1 AS x FROM (SELECT DISTINCT role_id, value FROM CO WHERE wc IS NULL)),
+NA AS (SELECT role_id, value, new, row_number() OVER (PARTITION BY role_id, new ORDER BY value) AS i FROM DR JOIN DI ON x > hi - n AND x <= hi)
+SELECT role_id, ts, CASE WHEN i = 1 THEN new WHEN i > 1 THEN new || '#' || i END AS value, wc FROM CO LEFT JOIN NA USING (role_id, value)"""
+on_events("synthetic_roles", SY, lambda h: S.synthetic_roles(h, 500), values=20)
 on_events("value_transitions_all", "SELECT DISTINCT role_id, prev, value AS after FROM S WHERE prev IS NOT NULL", lambda h: L.transitions(h, include_same=True))
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import MARKERS
+from ..operators.order import position
 
 #: Markers as they stand in files.
 SENTINELS = {f"⊥{m}": m for m in MARKERS}
@@ -26,9 +27,9 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_roleset(spark: SparkSession, path: str) -> DataFrame:
-    """Histories of a roleset document; old files say factLineage."""
-    doc = spark.read.schema(ROLESET_SCHEMA).json(path, multiLine=True)
+def read_roleset(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Histories of a roleset document, or of lines that write_roleset wrote; old files say factLineage."""
+    doc = spark.read.schema(ROLESET_SCHEMA).json(path, multiLine=not lines)
     roles = doc.select(F.explode("positionToRoleLineage").alias("pos", "r")).select(F.col("r.id").alias("role_id"), F.coalesce("r.roleLineage.lineage", "r.factLineage.lineage").alias("l"))
     return _entries(roles, F.col("l"))
 
@@ -65,10 +66,34 @@ def packed(lineage: DataFrame) -> DataFrame:
     return lineage.groupBy("role_id").agg(F.map_from_entries(e).alias("lineage"))
 
 
+def _placed(lineage: DataFrame) -> DataFrame:
+    """role_id, position in id order, role: the entry of a roleset document."""
+    role = F.struct(F.col("role_id").alias("id"), F.struct("lineage").alias("roleLineage"))
+    return position(packed(lineage), [F.col("role_id")], "position").select("role_id", "position", role.alias("role"))
+
+
 def write_roleset(lineage: DataFrame, path: str) -> None:
-    """Roles as JSON lines with their position in id order."""
-    pos = (F.row_number().over(Window.orderBy("role_id")) - 1).alias("position")
-    packed(lineage).select(pos, F.struct(F.col("role_id").alias("id"), F.struct("lineage").alias("roleLineage")).alias("role")).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """Roles as JSON lines, each a roleset document of one role at its position in id order."""
+    one = F.create_map(F.col("position").cast("string"), F.col("role")).alias("positionToRoleLineage")
+    _placed(lineage).select(F.array("role_id").alias("rolesSortedByID"), one).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_roleset_document(lineage: DataFrame, path: str) -> None:
+    """One document of all roles, as one file: a sorted stream of lines through one task, which never holds them together."""
+    p = _placed(lineage)
+    mark = F.when(F.col("position") > 0, ",").otherwise("")
+    ids = p.select(F.lit(1).alias("o"), "position", F.concat(mark, _quoted(F.col("role_id"))).alias("value"))
+    entry = F.concat(mark, F.lit('"'), F.col("position").cast("string"), F.lit('":'), F.to_json("role", {"ignoreNullFields": "false"}))
+    roles = p.select(F.lit(3).alias("o"), "position", entry.alias("value"))
+    frame = p.sparkSession.createDataFrame([(0, 0, '{"rolesSortedByID":['), (2, 0, '],"positionToRoleLineage":{'), (4, 0, "}}")], "o int, position long, value string")
+    lines = ids.unionByName(roles).unionByName(frame)
+    lines.repartition(1).sortWithinPartitions("o", "position").select("value").write.mode("overwrite").text(path)
+
+
+def _quoted(text: Column) -> Column:
+    """A JSON string."""
+    listed = F.to_json(F.array(text))
+    return listed.substr(F.lit(2), F.length(listed) - 2)
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -131,9 +156,12 @@ def read_matcher_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_line_numbers(lines: DataFrame) -> DataFrame:
-    """value, line: for zipping files line by line; numbers follow the files' own order."""
-    spark = lines.sparkSession
-    return spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])), "value string, line long")
+    """value, line: for zipping files line by line; numbers follow the scan's own order, which must be the same for two reads."""
+    # the upper 31 bits of the id are the partition, the lower 33 the row in it
+    rows = lines.select("value", F.monotonically_increasing_id().alias("id")).select("value", F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND((1 << 33) - 1).alias("at"))
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    base = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    return rows.join(F.broadcast(base), "part").select("value", (F.col("base") + F.col("at")).alias("line"))
 
 
 def parse_f1_log(lines: DataFrame) -> DataFrame:
