@@ -156,6 +156,8 @@ def test_decay_score_by_brute_force(spark):
 def test_blocker_containment(case):
     _, df, _ = case
     found = {m: {(r.id1, r.id2) for r in B.block_pairs(k).collect()} for m, k in B.keys(df, FRAME).items()}
+    tiled = B.block_pairs(B.keys(df, FRAME)["vsm"], width=2).collect()
+    assert len(tiled) == len(found["vsm"]) and {(r.id1, r.id2) for r in tiled} == found["vsm"]
     assert found["em"] <= found["cqm"] <= found["vsm"]
     assert found["em"] <= found["tsm"]
     counts = {r.method: r.n_pairs for r in B.block_counts(df, FRAME).collect()}

@@ -39,12 +39,23 @@ def keys(lineage: DataFrame, frame: TimeFrame) -> dict[str, DataFrame]:
     return {"em": em_key(lineage, end), "cqm": cqm_key(lineage, end), "tsm": tsm_key(lineage, end, frame.granularity), "vsm": vsm_key(lineage, end)}
 
 
-def block_pairs(key_rows: DataFrame) -> DataFrame:
-    """id1 < id2 that share a key. The key is hashed for the shuffle and compared in full."""
+#: Members of a key that meet in one tile.
+WIDTH = 2000
+
+
+def block_pairs(key_rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """id1 < id2 that share a key. The key is hashed for the shuffle and compared in full.
+
+    Members of a key are dealt to tiles of about `width`, and each pair of tiles is a join key of its own, so that a key of many
+    members is the work of many tasks. A member is sent twice to each tile, a small share of the pairs that it is in.
+    """
     k = key_rows.withColumn("h", F.xxhash64("key"))
-    a = k.select("h", F.col("key").alias("k1"), F.col("role_id").alias("id1"))
-    b = k.select("h", F.col("key").alias("k2"), F.col("role_id").alias("id2"))
-    return a.join(b, "h").where("k1 = k2 and id1 < id2").select("id1", "id2")
+    tiles = k.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / width).cast("int").alias("tiles"))
+    k = k.join(tiles, "h").withColumn("tile", F.pmod(F.xxhash64("role_id", F.lit(7)), "tiles").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    a = k.select("h", F.col("key").alias("k1"), F.col("role_id").alias("id1"), F.col("tile").alias("t1"), every.alias("t2"))
+    b = k.select("h", F.col("key").alias("k2"), F.col("role_id").alias("id2"), F.col("tile").alias("t2"), every.alias("t1"))
+    return a.join(b, ["h", "t1", "t2"]).where("k1 = k2 and id1 < id2").select("id1", "id2")
 
 
 def pair_count(key_rows: DataFrame) -> DataFrame:
