@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, memo, worker_state
+from ._common import bound_batches, clean_driver, memo, worker_state
 
 #: Names of the labellers, in the order of their votes.
 LABELLERS = ("repeats", "variety", "shouting", "marks", "columns", "endings", "prose")
@@ -151,7 +151,7 @@ def _bucket(name: str) -> int:
 
 
 def _state():
-    return worker_state("quality", lambda: (memo(shape, 300_000, 48), memo(_bucket, 50_000, 48)))
+    return worker_state("quality", lambda: (memo(shape, 150_000, 48), memo(_bucket, 50_000, 48)))
 
 
 def vote_column(text: Column) -> Column:
@@ -220,6 +220,8 @@ def train(docs: DataFrame, sample: dict[int, int] | None = None, l2: float = 1e-
         w, b = w - step[:-1], b - step[-1]
     weight = np.zeros(1 << BITS)
     weight[used] = w
+    del rows, row, col, val
+    clean_driver(docs.sparkSession)
     return QualityModel(model, weight, float(b))
 
 

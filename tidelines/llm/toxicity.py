@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, memo, worker_state
+from ._common import bound_batches, clean_driver, memo, worker_state
 
 #: Names of groups that may stand for each other, one kind a line. A word of two lines swaps with both.
 GROUPS = """
@@ -60,6 +60,8 @@ MOST = 3
 BITS = 18
 #: Bounds of the labelled sample that the classifier is fitted on, by class.
 SAMPLE = {1: 2500, 0: 5000}
+#: Entries of the fit's matrix that one step works on at a time.
+CHUNK = 1 << 18
 EDGES = ".,;:!?\"'()[]{}<>|*%$#&-_/\\"
 
 
@@ -95,7 +97,7 @@ class LinearModel:
     def word_weights(self) -> dict[str, tuple]:
         """By word: its features that have a weight, as (feature, weight)."""
         known = dict(zip(self.index.tolist(), self.weight.tolist(), strict=True))
-        return memo(lambda raw: tuple((f, known[f]) for f in word_features(raw) if f in known), 300_000, 48)
+        return memo(lambda raw: tuple((f, known[f]) for f in word_features(raw) if f in known), 100_000, 48)
 
     def margin(self, text: str | None, weights: dict[str, tuple]) -> float:
         """Each feature counts by the words of the text that have it, up to MOST of them. The sum is exact, so in any order."""
@@ -107,7 +109,7 @@ def _examples(rows):
     """By labelled text: its features with counts, and those of its swaps."""
     import pandas as pd
 
-    features = memo(word_features, 300_000, 48)
+    features = memo(word_features, 100_000, 48)
     for pdf in rows:
         out = []
         for label, text in zip(pdf["label"], pdf["text"], strict=True):
@@ -142,7 +144,11 @@ def fit(examples: list, swap_weight: float = 1.0, l2: float = 5e-4, steps: int =
     place = np.full(size, -1, np.int64)
     place[keep] = np.arange(len(keep))
     used = place[col] >= 0
-    row, col, val = row[used], place[col[used]].astype(np.int32), np.minimum(val[used], MOST).astype(np.float64)
+    row, col, val = row[used], place[col[used]].astype(np.int32), np.minimum(val[used], MOST).astype(np.uint8)
+    del used
+    # steps go over about CHUNK entries at a time, cut between texts
+    cuts = np.unique(np.r_[0, np.searchsorted(row, row[CHUNK::CHUNK]), len(row)])
+    chunks = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     times: Counter[tuple] = Counter()
     for e in examples:
         ends = [np.flatnonzero(ids < 0) for ids in (e[3], e[4])]
@@ -161,9 +167,13 @@ def fit(examples: list, swap_weight: float = 1.0, l2: float = 5e-4, steps: int =
     m, v = np.zeros(len(keep) + 1), np.zeros(len(keep) + 1)
     balance = np.where(y == 1, len(y) / 2 / (y == 1).sum(), len(y) / 2 / (y == 0).sum())
     for t in range(1, steps + 1):
-        s = b + np.bincount(row, val * w[col], minlength=len(y))
+        s = np.full(len(y), b)
+        for c in chunks:
+            s += np.bincount(row[c], val[c] * w[col[c]], minlength=len(y))
         g = balance * (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y) / len(y)
-        grad = np.append(np.bincount(col, val * g[row], minlength=len(keep)) + l2 * w, g.sum())
+        grad = np.append(l2 * w, g.sum())
+        for c in chunks:
+            grad[:-1] += np.bincount(col[c], val[c] * g[row[c]], minlength=len(keep))
         if n:
             change = np.bincount(d_row, d_val * w[d_col], minlength=n)
             grad[:-1] += 2 * swap_weight * np.bincount(d_col, d_val * (share * change)[d_row], minlength=len(keep))
@@ -185,7 +195,10 @@ def train(docs: DataFrame, labels: DataFrame, swap_weight: float = 1.0, sample:
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
     examples = rows.mapInPandas(_examples, "label int, f binary, n binary, a binary, b binary").collect()
     # a fixed order makes the fit the same on every run
-    return fit(sorted(map(tuple, examples), key=lambda e: (e[0], hashlib.sha256(e[1]).digest())), swap_weight)
+    model = fit(sorted(map(tuple, examples), key=lambda e: (e[0], hashlib.sha256(e[1]).digest())), swap_weight)
+    del examples
+    clean_driver(docs.sparkSession)
+    return model
 
 
 def score_column(text: Column, model: LinearModel) -> Column:
