@@ -54,6 +54,16 @@ def test_warc_gzip_broken_chains_and_fake_heads(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "wrong-length"), strict=False).count() == 10
 
 
+def test_warc_files_are_not_shuffled(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 4000) for i in range(40)], "page_id long, url string, html string")
+    path = fresh_path(spark, "t")
+    warc.write_archives(pages, path)
+    plan = warc.read_payloads(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    read = warc.read_archives(spark, path)
+    assert "content" not in "".join(line for line in read._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line or "Join" in line)
+
+
 def test_pointer_jumping_rejects_payload_magic():
     start, nxt = np.array([0, 30, 50, 70, 90]), np.array([50, 70, 90, 99, 120])
     assert warc.reachable(start, nxt).tolist() == [True, False, True, False, True]

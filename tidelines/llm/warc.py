@@ -2,9 +2,9 @@
 
 Every record is one line of the text writer, whose line separator is the record separator (two line breaks), so archives can
 be written to any store that Spark writes to, plain or gzipped. A response's block is an HTTP response with the payload as its
-body; a revisit's is the HTTP head alone. Reading emits a candidate for every occurrence of the record magic, with the
-offset of the record that its Content-Length says comes next. Payloads may hold the magic too; pointer jumping from the start
-of each file then keeps only the candidates that the chain reaches, and only their payloads are cut out and hashed. A chain
+body; a revisit's is the HTTP head alone. The task that reads a file finds a candidate at every occurrence of the record magic,
+with the offset of the record that its Content-Length says comes next. Payloads may hold the magic too; pointer jumping from the
+start of the file then keeps only the candidates that the chain reaches, and only their payloads are cut out and hashed. A chain
 that doesn't end at the file's end is an error that names the file and the offset.
 
 Defined results: a null payload is an empty one; payloads of any length are kept whole; of equal payloads of at least
@@ -31,7 +31,6 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Archives hold about this many bytes, by the mean size of a record, so that a reader's task can hold one.
 ARCHIVE_BYTES = 16 << 20
 
-CANDIDATE_SCHEMA = "path string, start long, next long"
 RECORD_SCHEMA = "path string, start long, next long, size long, record_id string, record_type string, uri string, digest string, refers_to string, payload_bytes long, payload_digest string"
 
 
@@ -125,64 +124,35 @@ def files_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").load(path).select("path", "content")
 
 
-def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    """path, start, next of every candidate record of the archives under path, and a row without next at the end of each file."""
-
-    def scan(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = unpacked(name, content.as_py())
-                found = [(at, after) for at, _, after in candidates(data)] + [(len(data), None)]
-                for i in range(0, len(found), 100_000):
-                    part = found[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), *(pa.array([f[j] for f in part], pa.int64()) for j in (0, 1))], names=["path", "start", "next"])
-
-    return files_of(spark, path).mapInArrow(scan, CANDIDATE_SCHEMA)
-
-
-def verify_chain(found: DataFrame, strict: bool = True) -> DataFrame:
-    """Keep the candidates on the chain from the start of their file. A file's candidates are bounded by its size.
+def chained(name: str, data: bytes, strict: bool = True) -> list[tuple[int, int, int]]:
+    """The candidates on the chain from the start of an archive.
 
     A chain that breaks before the file's end is an error, or with strict=False loses the records after the break.
     """
-
-    def chain(pdf):
-        pdf = pdf.sort_values(["start", "next"], ignore_index=True)  # the file's end comes last
-        start, following = pdf["start"].to_numpy(), pdf["next"].fillna(-1).to_numpy().astype(np.int64)
-        on = reachable(start, following)
-        if strict and not on[-1]:
-            last = following[on][-1] if on.any() else 0
-            raise ValueError(f"{pdf['path'][0]}: no record and no end at offset {last}")
-        on &= following >= 0
-        return pdf[on]
-
-    return found.groupBy("path").applyInPandas(chain, CANDIDATE_SCHEMA)
+    found = [*candidates(data), (len(data), 0, -1)]  # the file's end comes last
+    start, _, following = np.array(found, np.int64).T
+    on = reachable(start, following)
+    if strict and not on[-1]:
+        raise ValueError(f"{name}: no record and no end at offset {following[on][-1] if on.any() else 0}")
+    return [found[i] for i in np.flatnonzero(on & (following >= 0))]
 
 
-def cut_records(spark: SparkSession, path: str, kept: DataFrame) -> DataFrame:
-    """path, head, start, next, payload of the records at the kept offsets: the files are read again, and only those cut out.
+def cut_records(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """path, head, start, next, payload of the verified records of the archives under path.
 
-    A file's offsets are bounded by its size, so they meet it as one row.
+    A task that holds a file verifies its chain and cuts its records, so that no file's bytes are shuffled.
     """
-    offsets = kept.groupBy("path").agg(F.array_sort(F.collect_list("start")).alias("starts"))
-    files = files_of(spark, path).join(offsets, "path").select("path", "content", "starts")
 
     def cut(batches):
-        import pyarrow as pa
-
         for batch in batches:
-            for name, content, starts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data, rows, held = unpacked(name, content.as_py()), [], 0
-                for at in starts.values.to_pylist():
-                    body = data.find(b"\r\n\r\n", at) + 4
-                    size = int(head_of(data, at, body)["content-length"])
-                    block = data[body : body + size]
+                for at, body, after in chained(name, data, strict):
+                    block = data[body : after - 4]
                     http = block.find(b"\r\n\r\n") if block.startswith(b"HTTP/") else -4
                     payload = block[http + 4 :] if http != -1 else b""
-                    rows.append((name, data[at:body], at, body + size + 4, payload))
-                    held += size
+                    rows.append((name, data[at:body], at, after, payload))
+                    held += len(block)
                     if held > 4 << 20 or len(rows) >= 2000:
                         yield pack(rows)
                         rows, held = [], 0
@@ -195,7 +165,7 @@ def cut_records(spark: SparkSession, path: str, kept: DataFrame) -> DataFrame:
         kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "head", "start", "next", "payload"])
 
-    return files.mapInArrow(cut, "path string, head binary, start long, next long, payload binary")
+    return files_of(spark, path).mapInArrow(cut, "path string, head binary, start long, next long, payload binary")
 
 
 def described(cut: DataFrame) -> DataFrame:
@@ -223,7 +193,7 @@ def described(cut: DataFrame) -> DataFrame:
 
 def read_archives(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Verified records of the archives under path; revisits get length and digest from the response they refer to."""
-    kept = described(cut_records(spark, path, verify_chain(read_candidates(spark, path), strict)))
+    kept = described(cut_records(spark, path, strict))
     answers = kept.where("record_type = 'response'").groupBy(F.col("record_id").alias("__tl_id"), F.col("payload_digest").alias("__tl_digest")).agg(F.max("payload_bytes").alias("__tl_bytes"))
     revisit = F.col("record_type") == "revisit"
     joined = kept.join(answers, revisit & (kept["refers_to"] == answers["__tl_id"]) & (kept["digest"] == answers["__tl_digest"]), "left")
@@ -232,4 +202,4 @@ def read_archives(spark: SparkSession, path: str, strict: bool = True) -> DataFr
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """path, start and payload (binary) of every verified record."""
-    return cut_records(spark, path, verify_chain(read_candidates(spark, path))).select("path", "start", "payload")
+    return cut_records(spark, path).select("path", "start", "payload")
