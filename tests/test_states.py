@@ -51,6 +51,14 @@ def both_ways(monkeypatch, f):
     return sent
 
 
+def test_change_points(pairs, histories, monkeypatch):
+    p, w = numbered(pairs, histories)
+    b = F.lag(F.struct("v1", "w1", "v2", "w2", "valid_from")).over(w)
+    p = p.withColumn("b", b).withColumn("is_last", F.lead("valid_from").over(w).isNull()).where("b is not null")
+    want = p.select("id1", "id2", F.col("valid_from").alias("ts"), F.col("b.v1").alias("prev1"), F.col("b.w1").alias("prev_w1"), F.col("b.v2").alias("prev2"), F.col("b.w2").alias("prev_w2"), F.col("v1").alias("cur1"), F.col("w1").alias("cur_w1"), F.col("v2").alias("cur2"), F.col("w2").alias("cur_w2"), F.col("b.valid_from").alias("prev_ts"), "is_last")
+    assert both_ways(monkeypatch, lambda: P.change_points(pairs, histories).select(want.columns)) == rows(want)
+
+
 @pytest.mark.parametrize("dense", [0, 10**9])
 def test_agreements_in_memory_or_by_key(spark, monkeypatch, dense):
     rng = random.Random(4)
