@@ -59,6 +59,13 @@ def test_change_points(pairs, histories, monkeypatch):
     assert both_ways(monkeypatch, lambda: P.change_points(pairs, histories).select(want.columns)) == rows(want)
 
 
+def test_share_by_lengths(pairs, histories, monkeypatch):
+    p = P.pieces(pairs, histories).where((F.col("valid_from") < F.lit(FRAME.train_end)) & (F.col("valid_to") > F.lit(FRAME.start)))
+    days = F.datediff(F.least("valid_to", F.lit(FRAME.train_end)), F.greatest("valid_from", F.lit(FRAME.start)))
+    want = p.groupBy("id1", "id2").agg((F.coalesce(F.sum(F.when(compatible(*P._cols()), days)), F.lit(0)) / (FRAME.train_end - FRAME.start).days).alias("share"))
+    assert both_ways(monkeypatch, lambda: P.compatibility_share(pairs, histories, FRAME)) == rows(want)
+
+
 @pytest.mark.parametrize("dense", [0, 10**9])
 def test_agreements_in_memory_or_by_key(spark, monkeypatch, dense):
     rng = random.Random(4)
