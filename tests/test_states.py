@@ -59,6 +59,17 @@ def test_change_points(pairs, histories, monkeypatch):
     assert both_ways(monkeypatch, lambda: P.change_points(pairs, histories).select(want.columns)) == rows(want)
 
 
+@pytest.mark.parametrize("few", [16, 0])
+def test_validity_and_agreements(pairs, histories, monkeypatch, few):
+    monkeypatch.setattr(P, "FEW", few)
+    p, _ = numbered(pairs, histories)
+    for test, words in ((compatible, False), (contained, True)):
+        assert rows(P.stays_valid(pairs, histories, words)) == rows(p.groupBy("id1", "id2").agg(F.bool_and(test(*P._cols())).alias("valid")))
+    hit = (F.col("i") > 1) & F.col("w1").isNull() & F.col("w2").isNull() & F.col("v1").eqNullSafe(F.col("v2"))
+    want = p.groupBy("id1", "id2").agg(F.count_distinct(F.when(hit, F.coalesce("v1", F.lit("null")))).alias("dva_count"))
+    assert rows(P.distinct_agreements(pairs, histories)) == rows(want)
+
+
 def test_share_by_lengths(pairs, histories, monkeypatch):
     p = P.pieces(pairs, histories).where((F.col("valid_from") < F.lit(FRAME.train_end)) & (F.col("valid_to") > F.lit(FRAME.start)))
     days = F.datediff(F.least("valid_to", F.lit(FRAME.train_end)), F.greatest("valid_from", F.lit(FRAME.start)))
