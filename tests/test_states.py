@@ -77,6 +77,33 @@ def test_share_by_lengths(pairs, histories, monkeypatch):
     assert both_ways(monkeypatch, lambda: P.compatibility_share(pairs, histories, FRAME)) == rows(want)
 
 
+def test_decay_score_by_trying_all_cutoffs(spark):
+    frame = TimeFrame(date(2024, 1, 1), date(2024, 1, 30), 1, date(2024, 1, 21))
+    rng = random.Random(2)
+    day = lambda n: date(2024, 1, 1) + timedelta(n)
+    by = {f"r{i}": [(n, rng.choice("ab" if i % 2 else "bc")) for n in sorted(rng.sample(range(30), rng.choice((1, 2, 3, 4))))] for i in range(14)}
+    h = spark.createDataFrame([(r, day(n), v, None) for r, e in by.items() for n, v in e], "role_id string, ts date, value string, wc string")
+    ids = [(a, b) for a in by for b in by if a < b]
+
+    def spans(e, theta):
+        ds = sorted(b[0] - a[0] for a, b in zip(e, e[1:], strict=False) if b[0] <= 20)
+        k = -int(-len(ds) * theta // 1)
+        cut = 1 << 30 if theta >= 1 or not ds else 1 if k < 1 else ds[k - 1]
+        ends = [n for n, _ in e[1:]] + [29]
+        return [(n, n + min(t - n, cut), t, v) for (n, v), t in zip(e, ends, strict=True)]
+
+    def score(a, b):
+        for theta in (1.0, 0.75, 0.5, 0.25, 0.0):
+            x, y = spans(by[a], theta), spans(by[b], theta)
+            if all(p[1] <= q[0] or q[1] <= p[0] for p in x for q in y if p[0] < q[2] and q[0] < p[2] and p[3] != q[3]):
+                return theta
+        return -1.0
+
+    want = {p: score(*p) for p in ids}
+    got = {(r.id1, r.id2): r.decay_score for r in P.decay_score(spark.createDataFrame(ids, "id1 string, id2 string"), h, frame, 0.25).collect()}
+    assert got == want and len(set(want.values())) > 3
+
+
 @pytest.mark.parametrize("dense", [0, 10**9])
 def test_agreements_in_memory_or_by_key(spark, monkeypatch, dense):
     rng = random.Random(4)
