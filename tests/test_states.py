@@ -77,6 +77,19 @@ def test_share_by_lengths(pairs, histories, monkeypatch):
     assert both_ways(monkeypatch, lambda: P.compatibility_share(pairs, histories, FRAME)) == rows(want)
 
 
+def test_evidence_common_dates_and_label(pairs, histories):
+    both = P._both_change(pairs, histories).where("p1.wc is null and p2.wc is null").groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("n"))
+    v = P.stays_valid(pairs, histories).join(both, ["id1", "id2"], "left")
+    want = v.select("id1", "id2", F.when(F.col("valid"), F.coalesce("n", F.lit(0))).otherwise(-1).cast("bigint").alias("evidence")).join(R.common_change_dates(pairs, histories), ["id1", "id2"])
+    assert rows(P.evidence_and_common(pairs, histories)) == rows(want)
+    cells = L.grid_cells(L.remove_decayed(histories), FRAME).where(F.col("d") > F.lit(FRAME.train_end))
+    same = {(r.id1, r.id2): r.same for r in P.aligned(pairs, cells).groupBy("id1", "id2").agg(F.bool_and(same_raw(*P._cols())).alias("same")).collect()}
+    changes = {r.role_id for r in P.first_real_change(histories, FRAME.train_end).where("change_ts is not null").collect()}
+    got = {(r.id1, r.id2): r.label for r in P.class_label(pairs, histories, FRAME).collect()}
+    assert got == {(r.id1, r.id2): same.get((r.id1, r.id2)) if {r.id1, r.id2} & changes else None for r in pairs.collect()}
+    assert {None, False} <= set(got.values())
+
+
 def test_decay_score_by_trying_all_cutoffs(spark):
     frame = TimeFrame(date(2024, 1, 1), date(2024, 1, 30), 1, date(2024, 1, 21))
     rng = random.Random(2)
@@ -116,3 +129,10 @@ def test_agreements_in_memory_or_by_key(spark, monkeypatch, dense):
     found = M.agreements(spark.createDataFrame(cells, "role_id string, d date, value string"), 3)
     assert ("BroadcastNestedLoopJoin" in found._jdf.queryExecution().executedPlan().toString()) == bool(dense)
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_statistics_deal_no_pair(histories):
+    pairs = S.block_weights(histories, FRAME)
+    for f in (P.change_points, P.stays_valid, P.distinct_agreements, P.evidence, P.evidence_and_common, lambda p, h: P.stays_valid(p, h, True), lambda p, h: P.compatibility_share(p, h, FRAME), lambda p, h: P.class_label(p, h, FRAME), lambda p, h: P.decay_score(p, h, FRAME)):
+        found = f(pairs, histories)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(id1" not in found and "Window" not in found
