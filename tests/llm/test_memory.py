@@ -64,3 +64,17 @@ def test_fit_works_on_bounded_pieces(monkeypatch):
     monkeypatch.setattr(toxicity, "CHUNK", 1000)
     pieces = toxicity.fit(examples, steps=3)
     assert (pieces.index == whole.index).all() and np.allclose(pieces.weight, whole.weight, atol=1e-12) and abs(pieces.intercept - whole.intercept) < 1e-12
+
+
+def test_piece_cache_is_bounded(stage):
+    import base64
+
+    from tidelines.llm import byte_bpe
+
+    stage(1)
+    ranks = b"".join(base64.b64encode(bytes([i])) + b" %d\n" % i for i in range(256))
+    cache = byte_bpe._encoder("k", ranks)[1]
+    for i in range(300_000):
+        cache[f"{i:x}"]
+    assert len(cache) + len(cache.old) <= 200_000
+    assert cache["ab"] == b"a\0\0\0b\0\0\0"

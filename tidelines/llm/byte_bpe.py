@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 
 from ._common import bound_batches, memo, worker_state
 
-#: A worker's piece cache holds up to twice as many entries. Longer pieces are encoded anew each time.
-CACHE_PIECES, CACHED_LENGTH = 400_000, 48
+#: A worker's piece cache holds up to twice as many entries. Longer pieces are encoded anew each time. An executor has a worker by
+#: core for encoding and one for decoding, which change places between tasks, so that all of them may come to hold a cache.
+CACHE_PIECES, CACHED_LENGTH = 100_000, 48
+#: Pairs of neighbours that a worker remembers.
+CACHED_PAIRS = 200_000
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -108,7 +111,7 @@ class PrefixEncoder:
                 ok = self.alone[token] = self.merged(self.tokens[token]) == [token]
             return ok
         if (ok := self.pairs.get((left, token))) is None:
-            if len(self.pairs) >= 400_000:
+            if len(self.pairs) >= CACHED_PAIRS:
                 self.pairs.clear()
             both = self.tokens[left] + self.tokens[token]
             # a token that stands for both, and encodes to itself, is their encoding
@@ -241,7 +244,8 @@ def decode_column(ids: Column, ranks: bytes) -> Column:
     def decode(rows):
         import pyarrow as pa
 
-        token = _encoder(key, ranks)[0].tokens.__getitem__
+        # decoding needs no encoder, which with its caches is many times larger
+        token = worker_state("ranks-tokens-" + key, lambda: {i: t for t, i in parse_ranks(ranks).items()}).__getitem__
         return pa.array([b"".join(map(token, r.values.to_pylist())) if r.is_valid else b"" for r in rows], pa.binary())
 
     decode.__annotations__ = {}
