@@ -22,9 +22,9 @@ from ._common import bound_batches, memo, worker_state
 
 #: A worker's piece cache holds up to twice as many entries. Longer pieces are encoded anew each time. An executor has a worker by
 #: core for encoding and one for decoding, which change places between tasks, so that all of them may come to hold a cache.
-CACHE_PIECES, CACHED_LENGTH = 100_000, 48
+CACHE_PIECES, CACHED_LENGTH = 200_000, 48
 #: Pairs of neighbours that a worker remembers.
-CACHED_PAIRS = 200_000
+CACHED_PAIRS = 400_000
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
