@@ -10,7 +10,7 @@ from test_oracle import plain
 
 COPIES = 12
 ONCE = ["agreeing_pairs"]
-BESIDE = ["agreeing_pairs", "drawable_pairs_all_pairs"]
+BESIDE = ["agreeing_pairs", "decay_score", "drawable_pairs_all_pairs"]
 
 
 def copied(folder, n):
