@@ -9,7 +9,7 @@ from tidelines.queries import ORACLE_SQL, QUERIES
 from test_oracle import plain
 
 COPIES = 12
-ONCE = ["agreeing_pairs"]
+ONCE = ["agreeing_pairs", "compatible_pairs"]
 BESIDE = ["agreeing_pairs", "decay_score", "drawable_pairs_all_pairs"]
 
 
