@@ -10,7 +10,7 @@ from test_oracle import plain
 
 COPIES = 12
 ONCE = ["agreeing_pairs", "compatible_pairs"]
-BESIDE = ["agreeing_pairs", "decay_score", "drawable_pairs_all_pairs"]
+BESIDE = ["agreeing_pairs", "compatible_pairs_transition", "decay_score", "drawable_pairs_all_pairs"]
 
 
 def copied(folder, n):
