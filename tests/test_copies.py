@@ -10,7 +10,7 @@ from test_oracle import plain
 
 COPIES = 12
 ONCE = ["agreeing_pairs", "compatible_any", "compatible_pairs", "split_recursion", "split_recursion_two_lists"]
-BESIDE = ["agreeing_pairs", "change_points", "compatible_pairs_transition", "decay_score", "drawable_pairs_all_pairs"]
+BESIDE = ["agreeing_pairs", "change_points", "class_label_all_pairs", "compatible_pairs_transition", "decay_score", "drawable_pairs_all_pairs"]
 
 
 def copied(folder, n):
