@@ -9,7 +9,7 @@ from tidelines.queries import ORACLE_SQL, QUERIES
 from test_oracle import plain
 
 COPIES = 12
-ONCE = ["agreeing_pairs", "compatible_any", "compatible_pairs", "split_recursion", "split_recursion_two_lists"]
+ONCE = ["agreeing_pairs", "block_weights_all_pairs", "compatible_any", "compatible_pairs", "split_recursion", "split_recursion_two_lists"]
 BESIDE = ["agreeing_pairs", "change_points", "class_label_all_pairs", "compatible_pairs_transition", "decay_score", "drawable_pairs_all_pairs"]
 
 
